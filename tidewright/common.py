@@ -64,16 +64,16 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """``left`` joined to ``right``, which has one row a ``key`` and in ``weight`` the number of left rows of it.
 
     Keys with more than 1/HOT_SHARE of the ``total`` left rows are at most HOT_SHARE in number, so they are
     broadcast; all others meet in a sort-merge join whose partitions are then even. Null keys match nothing.
     ``weight`` is dropped. Both inputs are read twice: pass stored tables.
     """
-    limit = max(1, total // HOT_SHARE)
+    key, limit = [key] if isinstance(key, str) else key, max(1, total // HOT_SHARE)
     hot = F.broadcast(right.where(F.col(weight) > limit))
     cold = right.where(F.col(weight) <= limit).drop(weight)
     near = left.join(hot.drop(weight), key, "inner")
-    far = left.join(hot.select(key), key, "left_anti").join(cold.hint("merge"), key, how)
+    far = left.join(hot.select(*key), key, "left_anti").join(cold.hint("merge"), key, how)
     return near.unionByName(far)
