@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A key counts as hot when it holds more than 1/HOT_SHARE of the rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 64
 
+_OWN_ROOTS: dict[str, str] = {}
+
 
 def session(app: str = "tidewright", cores: str = "*", shuffle: int = 8, memory: str = "12g") -> SparkSession:
     """A local session with the settings that the engine's tests and bench use."""
@@ -35,8 +37,10 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one is made only where the cluster names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidewright-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_ROOTS:
+            _OWN_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="tidewright-")
+        root = _OWN_ROOTS[app]
     return root.rstrip("/")
 
 
