@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewright.common import table
 from tidewright.llm.exact_dedup import exact_dedup
+from tidewright.llm.licenses import license_scan
 from tidewright.llm.line_dedup import line_dedup
+from tidewright.llm.packing import pack
 from tidewright.llm.simhash import simhash_classes
 from tidewright.llm.toxicity import held_out, learn, score_toxicity
 
@@ -17,6 +19,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score_toxicity(docs, learn(docs, table(spark, sf_dir, "labels")), ["doc_id"])
@@ -35,6 +45,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_license_scan": op4_license_scan,
+    "op6_packing": op6_packing,
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
