@@ -1,9 +1,11 @@
 """Line deduplication by levelled sorted runs of line hashes.
 
 A run is a table of line hashes with the document that keeps each line, bucketed and sorted by hash. A batch of
-documents is hashed line by line, reduced to one row a hash, merge-anti-joined with every run (no shuffle or sort
-of a run) and written as a new run of level 0; a level that has reached ``fanout`` runs is merged into one run of
-the next level, so there are at most ``fanout`` runs a level and each hash is rewritten once a level.
+documents is hashed line by line and reduced to one row a hash (with map-side aggregation); these meet every run in
+a merge join that neither shuffles nor sorts the run, and the hashes that no run has become a new run of level 0.
+A level that has reached ``fanout`` runs is merged into one run of the next level, so there are at most ``fanout``
+runs a level and each hash is rewritten once a level. A line that is in very many documents makes one row in
+the runs; the join back to its documents is a plain sort-merge join, whose hot partitions Spark splits.
 
 A line's key is the line without ASCII white space at its ends and with A-Z lower-cased, hashed to 128 bits. Keys
 of at least ``min_chars`` code points are shared; of the documents that hold a key, in the first batch that has
@@ -22,7 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.common import Scratch, spread_join
+from tidewright.common import Scratch
 
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,55 +37,55 @@ def folded(text: Column) -> Column:
 
 
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, text_hash, pos, h1, h2: a row for each line that is long enough to be shared."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    keys = lines.select("doc_id", "text_hash", "pos", F.btrim("line", F.lit(BLANKS)).alias("key")).where(F.length("key") >= min_chars)
-    return keys.select("doc_id", "text_hash", "pos", folded(F.col("key")).alias("key")).select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+    """r1, r2, doc_id, pos, h1, h2: a row for each line that is long enough to be shared; r1, r2 stand for the document row."""
+    row = [F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit("row"), "doc_id", "text").alias("r2")]
+    lines = docs.select(*row, "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    keys = lines.select("r1", "r2", "doc_id", "pos", F.btrim("line", F.lit(BLANKS)).alias("key")).where(F.length("key") >= min_chars)
+    return keys.select("r1", "r2", "doc_id", "pos", folded(F.col("key")).alias("key")).select("r1", "r2", "doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
 class LineRuns:
-    """The persistent runs. ``levels[i]`` names the tables of level i, oldest first."""
+    """The persistent runs. ``levels[i]`` names the tables of level i, oldest first. ``buckets`` is fixed when the
+    runs are made: so many that a bucket of the highest level sorts in a task's memory (24 bytes a line)."""
 
-    def __init__(self, spark: SparkSession, name: str | None = None, fanout: int = 2, buckets: int = 48):
-        self.spark, self.fanout, self.buckets = spark, fanout, buckets
+    def __init__(self, spark: SparkSession, name: str | None = None, fanout: int = 2, buckets: int | None = None):
+        self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = name or f"line_runs_{uuid.uuid4().hex[:12]}"
         self.levels: list[list[str]] = []
         self.made = 0
 
-    def runs(self) -> list[DataFrame]:
-        return [self.spark.table(t) for level in self.levels for t in level]
+    def run(self, name: str) -> DataFrame:
+        """A table also holds what its batch found in older runs, marked as known; that is no part of the run."""
+        return self.spark.table(name).where("not known").select(*KEY, "owner")
 
-    def _write(self, rows: DataFrame, level: int) -> None:
+    def _write(self, rows: DataFrame, level: int) -> str:
         self.made += 1
         name = f"{self.name}_l{level}_{self.made}"
-        rows.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").saveAsTable(name)
+        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").saveAsTable(name)
         self.levels += [[] for _ in range(level + 1 - len(self.levels))]
         self.levels[level].append(name)
-
-    def unseen(self, keys: DataFrame) -> DataFrame:
-        for run in self.runs():
-            keys = keys.join(run.hint("merge"), KEY, "left_anti")
-        return keys
-
-    def seen(self, keys: DataFrame) -> DataFrame | None:
-        """The keys that some run has, with the owner there. A key is in one run at most."""
-        found = None
-        for run in self.runs():
-            part = keys.drop("owner").join(run.hint("merge"), KEY)
-            found = part if found is None else found.unionByName(part)
-        return found
-
-    def add(self, rows: DataFrame) -> None:
-        self._write(rows.select(*KEY, "owner"), 0)
-        self.compact()
+        return name
+
+    def add(self, keys: DataFrame) -> DataFrame:
+        """Adds (h1, h2, owner, shared) of a batch; returns (h1, h2, owner) of the lines that some document must lose."""
+        older = [t for level in self.levels for t in level]
+        for i, t in enumerate(older):
+            keys = keys.join(self.run(t).withColumnRenamed("owner", f"owner{i}").withColumn(f"in{i}", F.lit(True)).hint("merge"), KEY, "left")
+        known, owner = F.lit(False), F.col("owner")
+        for i in range(len(older)):
+            known, owner = known | F.coalesce(F.col(f"in{i}"), F.lit(False)), F.when(F.col(f"in{i}"), F.col(f"owner{i}")).otherwise(owner)
+        keys = keys.select(*KEY, owner.alias("owner"), "shared", known.alias("known"))
+        return self.spark.table(self._write(keys, 0)).where("shared or known").select(*KEY, "owner")
 
     def compact(self) -> None:
+        """Merges each level that is full into the next. No hash is in two runs."""
         for level, tables in enumerate(self.levels):
             if len(tables) >= self.fanout:
-                merged = self.spark.table(tables[0])
+                merged = self.run(tables[0])
                 for t in tables[1:]:
-                    merged = merged.unionByName(self.spark.table(t))
-                self._write(merged, level + 1)
+                    merged = merged.unionByName(self.run(t))
+                self._write(merged.withColumn("known", F.lit(False)).repartition(self.buckets, *KEY), level + 1)
                 for t in tables:
                     self.spark.sql(f"DROP TABLE {t}")
                 self.levels[level] = []
@@ -95,31 +97,25 @@ def dedup_batch(docs: DataFrame, runs: LineRuns, scratch: Scratch, min_chars: in
     Adds the batch's own lines to the runs.
     """
     name = f"batch-{uuid.uuid4().hex[:8]}"
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = scratch.save(line_keys(text, min_chars), f"{name}/lines")
-    n_ids = F.count("doc_id")
-    keys = lines.groupBy(*KEY).agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n"), ((F.max("doc_id") > F.min("doc_id")) | ((n_ids > 0) & (n_ids < F.count(F.lit(1))))).alias("shared"))
-    keys = scratch.save(keys, f"{name}/keys")
-    new, old = runs.unseen(keys), runs.seen(keys)
-    repeated = new.where("shared").select(*KEY, "owner", "n")
-    if old is not None:
-        repeated = repeated.unionByName(old.select(*KEY, "owner", "n"))
-    repeated = scratch.save(repeated, f"{name}/repeated")
-    runs.add(new)
-    total = keys.agg(F.sum("n")).first()[0] or 0
-    gone = spread_join(lines, repeated, KEY, "n", total).where(~F.col("doc_id").eqNullSafe(F.col("owner")))
-    gone = scratch.save(gone.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("pos").alias("__gone")), f"{name}/gone")
-    scratch.drop(f"{name}/lines", f"{name}/keys", f"{name}/repeated")
     full = F.coalesce("text", F.lit(""))
-    parts = docs.select(*[c for c in docs.columns if c != "text"], F.split(full, "\n").alias("__parts"), F.xxhash64(full).alias("__of"))
-    out = parts.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__hash")), "left")
-    out = out.withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
+    lines = scratch.save(line_keys(docs.select("doc_id", full.alias("text")), min_chars), f"{name}/lines")
+    ids = F.count("doc_id")
+    shared = (F.max("doc_id") > F.min("doc_id")) | ((ids > 0) & (ids < F.count(F.lit(1))))
+    lost = runs.add(lines.groupBy(*KEY).agg(F.min("doc_id").alias("owner"), F.coalesce(shared, F.lit(False)).alias("shared")))
+    gone = lines.join(lost.hint("merge"), KEY).where(~F.col("doc_id").eqNullSafe(F.col("owner")))
+    gone = scratch.save(gone.groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone")).select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), F.col("gone").alias("__gone")), f"{name}/gone")
+    scratch.drop(f"{name}/lines")
+    runs.compact()
+    row = [F.xxhash64("doc_id", full).alias("__r1"), F.xxhash64(F.lit("row"), "doc_id", full).alias("__r2")]
+    parts = docs.select(*[c for c in docs.columns if c != "text"], F.split(full, "\n").alias("__parts"), *row)
+    # One plan at every size: the texts are dealt out once and merged with the positions that go.
+    out = parts.join(gone.hint("merge"), ["__r1", "__r2"], "left").withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.col("__parts")[i]), "\n").alias("text")
     return out.select(*[kept if c == "text" else F.col(c) for c in docs.columns], F.size("__parts").cast("long").alias("__lines"), F.size("__gone").cast("long").alias("__dropped"))
 
 
-def line_dedup(docs: DataFrame, runs: LineRuns | None = None, min_chars: int = 10, batches: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, runs: LineRuns | None = None, min_chars: int = 10, batches: int = 2) -> DataFrame:
     """The whole table, fed to the runs as ``batches`` ranges of doc_id in ascending order."""
     spark = docs.sparkSession
     runs, scratch = runs or LineRuns(spark), Scratch(spark, "lines")
