@@ -10,10 +10,16 @@ from tidewright.llm.exact_dedup import exact_dedup
 from tidewright.llm.licenses import license_scan
 from tidewright.llm.line_dedup import line_dedup
 from tidewright.llm.packing import pack
+from tidewright.llm.quality import quality_rules
 from tidewright.llm.simhash import simhash_classes
 from tidewright.llm.toxicity import held_out, learn, score_toxicity
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_classes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,6 +50,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
     "op4_license_scan": op4_license_scan,
     "op6_packing": op6_packing,
