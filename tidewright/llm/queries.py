@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.common import table
 from tidewright.llm.exact_dedup import exact_dedup
+from tidewright.llm.html_text import extract
 from tidewright.llm.licenses import license_scan
 from tidewright.llm.line_dedup import line_dedup
 from tidewright.llm.packing import pack
@@ -33,6 +34,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score_toxicity(docs, learn(docs, table(spark, sf_dir, "labels")), ["doc_id"])
@@ -54,6 +59,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_license_scan": op4_license_scan,
     "op6_packing": op6_packing,
+    "op7_html_text": op7_html_text,
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
