@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.common import table
+from tidewright.common import Scratch, table
 from tidewright.llm.exact_dedup import exact_dedup
+from tidewright.llm.fixity import audit, damaged, merkle_tree, warc_records
 from tidewright.llm.html_text import extract
 from tidewright.llm.licenses import license_scan
 from tidewright.llm.line_dedup import line_dedup
 from tidewright.llm.packing import pack
+from tidewright.llm.pieces import encode_pieces
 from tidewright.llm.quality import quality_rules
 from tidewright.llm.simhash import simhash_classes
 from tidewright.llm.toxicity import held_out, learn, score_toxicity
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
@@ -30,6 +36,16 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record in the archive, and whether the audit of a damaged replica finds it corrupt there."""
+    records = Scratch(spark, "replica").save(warc_records(table(spark, sf_dir, "pages")), "first")
+    tree = merkle_tree(records)
+    found = audit(tree, merkle_tree(damaged(records)))
+    rows = records.select("file", "seq", "page_id", "offset", "length").join(tree[0].select("file", F.col("node").alias("seq"), F.lower(F.hex("hash")).alias("leaf")), ["file", "seq"])
+    bad = found.select("file", F.col("node").alias("seq"), F.lit(True).alias("bad"))
+    return rows.join(bad, ["file", "seq"], "left").select("page_id", "file", "offset", "length", "leaf", F.coalesce("bad", F.lit(False)).alias("corrupt"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -55,9 +71,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
     "op4_license_scan": op4_license_scan,
+    "op5_fixity_audit": op5_fixity_audit,
     "op6_packing": op6_packing,
     "op7_html_text": op7_html_text,
     "op8_toxicity": op8_toxicity,

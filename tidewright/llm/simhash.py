@@ -57,15 +57,17 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return sum(1 << b for b in np.flatnonzero(2 * ones > total).tolist())
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed 64-bit number) and the columns to carry."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(x or b"", shingle) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *carry])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(["doc_id long", "fp long", *[f"`{c}` {t}" for c, t in rows.dtypes if c in carry]])
+    return rows.mapInArrow(run, schema)
 
 
 def bit_moments(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -176,16 +178,30 @@ def links(fps: DataFrame, n: int, both: np.ndarray, scratch: Scratch, radius: in
     return scratch.save(pairs.unionByName(met).distinct(), "links")
 
 
-def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = 2, crowd: int = CROWD) -> DataFrame:
-    """Per row of ``docs``: doc_id, fp (signed 64 bits), component_id."""
+def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = 2, crowd: int = CROWD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, fp (signed 64 bits), component_id, root (a fingerprint of the class), and ``carry``."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.save(fingerprints(docs, shingle), "marked")
+    marked = scratch.save(fingerprints(docs, shingle, carry), "marked")
     fps = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "fps")
     n, both = bit_moments(fps)
     roots = connected_components(links(fps.select("fp"), n, both, scratch, radius, crowd), Scratch(docs.sparkSession, "simhash-parts"))
     of = scratch.save(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "of")
     ids = scratch.save(of.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("parts")), "ids")
-    named = scratch.save(spread_join(of, ids, "root", "parts", n).select("fp", "n", "component_id"), "named")
+    named = scratch.save(spread_join(of, ids, "root", "parts", n).select("fp", "n", "component_id", "root"), "named")
     total = fps.agg(F.sum("n")).first()[0] or 0
-    out = spread_join(marked, named, "fp", "n", total)
-    return out.select("doc_id", "fp", "component_id")
+    return spread_join(marked, named, "fp", "n", total).select("doc_id", "fp", "component_id", "root", *carry)
+
+
+def near_dedup(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each class, with the columns of ``docs``: that of the smallest doc_id, or if none has one, any.
+
+    Rows of one doc_id in one class leave one row. Rows are named by two hashes of doc_id and text, so only those
+    and the fingerprints move until the texts are met once.
+    """
+    text = F.coalesce("text", F.lit(""))
+    key = [F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text).alias("__r1"), F.xxhash64(F.lit("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text).alias("__r2")]
+    rows = simhash_classes(docs.select("doc_id", "text", *key), shingle, radius, carry=("__r1", "__r2"))
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("__r1", "__r2")).alias("r"))
+    first = Scratch(docs.sparkSession, "near").save(first.select("r.*"), "first")
+    keyed = docs.select(*docs.columns, *key)
+    return keyed.join(first.hint("merge"), ["__r1", "__r2"], "left_semi").dropDuplicates(["__r1", "__r2"]).select(*docs.columns)
