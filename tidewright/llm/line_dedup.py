@@ -5,7 +5,7 @@ documents is hashed line by line and reduced to one row a hash (with map-side ag
 a merge join that neither shuffles nor sorts the run, and the hashes that no run has become a new run of level 0.
 A level that has reached ``fanout`` runs is merged into one run of the next level, so there are at most ``fanout``
 runs a level and each hash is rewritten once a level. A line that is in very many documents makes one row in
-the runs; the join back to its documents is a plain sort-merge join, whose hot partitions Spark splits.
+the runs, and is broadcast rather than dealt out when these are joined back to the documents.
 
 A line's key is the line without ASCII white space at its ends and with A-Z lower-cased, hashed to 128 bits. Keys
 of at least ``min_chars`` code points are shared; of the documents that hold a key, in the first batch that has
@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.common import Scratch
+from tidewright.common import Scratch, spread_join
 
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,15 +68,15 @@ class LineRuns:
         return name
 
     def add(self, keys: DataFrame) -> DataFrame:
-        """Adds (h1, h2, owner, shared) of a batch; returns (h1, h2, owner) of the lines that some document must lose."""
+        """Adds (h1, h2, owner, shared, n) of a batch; returns (h1, h2, owner, n) of the lines that some document must lose."""
         older = [t for level in self.levels for t in level]
         for i, t in enumerate(older):
             keys = keys.join(self.run(t).withColumnRenamed("owner", f"owner{i}").withColumn(f"in{i}", F.lit(True)).hint("merge"), KEY, "left")
         known, owner = F.lit(False), F.col("owner")
         for i in range(len(older)):
             known, owner = known | F.coalesce(F.col(f"in{i}"), F.lit(False)), F.when(F.col(f"in{i}"), F.col(f"owner{i}")).otherwise(owner)
-        keys = keys.select(*KEY, owner.alias("owner"), "shared", known.alias("known"))
-        return self.spark.table(self._write(keys, 0)).where("shared or known").select(*KEY, "owner")
+        keys = keys.select(*KEY, owner.alias("owner"), "shared", "n", known.alias("known"))
+        return self.spark.table(self._write(keys, 0)).where("shared or known").select(*KEY, "owner", "n")
 
     def compact(self) -> None:
         """Merges each level that is full into the next. No hash is in two runs."""
@@ -101,8 +101,9 @@ def dedup_batch(docs: DataFrame, runs: LineRuns, scratch: Scratch, min_chars: in
     lines = scratch.save(line_keys(docs.select("doc_id", full.alias("text")), min_chars), f"{name}/lines")
     ids = F.count("doc_id")
     shared = (F.max("doc_id") > F.min("doc_id")) | ((ids > 0) & (ids < F.count(F.lit(1))))
-    lost = runs.add(lines.groupBy(*KEY).agg(F.min("doc_id").alias("owner"), F.coalesce(shared, F.lit(False)).alias("shared")))
-    gone = lines.join(lost.hint("merge"), KEY).where(~F.col("doc_id").eqNullSafe(F.col("owner")))
+    lost = runs.add(lines.groupBy(*KEY).agg(F.min("doc_id").alias("owner"), F.coalesce(shared, F.lit(False)).alias("shared"), F.count(F.lit(1)).alias("n")))
+    total = lost.agg(F.sum("n")).first()[0] or 0
+    gone = spread_join(lines, lost, KEY, "n", total).where(~F.col("doc_id").eqNullSafe(F.col("owner")))
     gone = scratch.save(gone.groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone")).select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), F.col("gone").alias("__gone")), f"{name}/gone")
     scratch.drop(f"{name}/lines")
     runs.compact()
