@@ -7,8 +7,8 @@ the sum of squared lengths) the one is taken whose residual after placing has th
 greatest weighted dot product with the piece. Bins of one state are interchangeable, so each state is tried once.
 A shard leaves about one bin part-filled, whatever the size of the table.
 
-Tokens of a word never reach over white space in this vocabulary, so each word is encoded once and its ids kept;
-the store of words is emptied when it is full, so memory is bounded.
+Tokens of a word never reach over white space in this vocabulary, so each word is encoded once and its ids kept, in
+a store of two generations, the older of which goes when the younger is full, so memory is bounded.
 
 Defined results: a null or empty text is one separator; repeated rows are packed as rows of their own; long
 texts are cut as above, never dropped; ties go to the bin opened first; an empty table gives no rows. Only doc_id
@@ -17,6 +17,7 @@ and text are read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -29,7 +30,10 @@ from pyspark.sql import functions as F
 
 from tidewright.common import Scratch
 
-MAX_WORDS = 400_000
+MAX_WORDS = 500_000
+#: ASCII signs: none is a letter, a digit or white space.
+SIGNS = r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
+PLAIN = re.compile(rf"([{SIGNS}]*)([^\W\d_]+)([{SIGNS}']*)")
 
 
 def default_tokenizer() -> str:
@@ -39,28 +43,69 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Ids as little-endian unsigned 32-bit bytes. Only ASCII white space parts words here."""
+    """Ids as little-endian unsigned 32-bit bytes. Only ASCII white space parts words here.
+
+    A word of letters with signs before or after it is one run of letters and one or two runs of signs to the
+    tokenizer, so letters are kept apart from signs, and many runs of letters are encoded as one text: each
+    run's last token, and no other, ends a word.
+    """
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        # Words seen lately, and those seen before that: what is still used moves over.
         self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            pass
+        self.older: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(words), 5_000):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words[i : i + 5_000], add_special_tokens=False)]
+        return out
+
+    def _letters(self, runs: list[str]) -> None:
+        for i in range(0, len(runs), 5_000):
+            part = runs[i : i + 5_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                raw, at = ids.tobytes(), (4 * stops).tolist()
+                self.runs.update(zip(part, [raw[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+            else:
+                self.runs.update(zip(part, self._whole(part), strict=True))
+
+    def _add(self, new: set[bytes]) -> None:
+        """Encodes words and keeps their ids."""
+        plain, odd = [], []
+        for w in new:
+            if (m := PLAIN.fullmatch(word := w.decode())) and "<|" not in word:
+                before, run, after = m.groups()
+                plain.append((w, before, run.lower() if run.isascii() else run, after))
+            else:
+                odd.append(word)
+        if len(self.runs) > self.max_words:
+            self.runs.clear()
+        self._letters(sorted({r for _, _, r, _ in plain}.difference(self.runs)))
+        signs = sorted({x for _, a, _, b in plain for x in (a, b) if x}.difference(self.runs))
+        self.runs.update(zip(signs, self._whole(signs), strict=True))
+        self.known.update((w, (self.runs[a] if a else b"") + self.runs[run] + (self.runs[b] if b else b"")) for w, a, run, b in plain)
+        self.known.update(zip((w.encode() for w in odd), self._whole(odd), strict=True))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > self.max_words:
-            self.known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([self.known[w] for w in words])
+            self.known, self.older = {}, self.known
+        split = [text.split() for text in texts]
+        new = set().union(*split).difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        self._add(new - again)
+        known = self.known
+        return [b"".join([known[w] for w in words]) for words in split]
 
 
 @cache
@@ -75,11 +120,13 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path).encode
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                coded = encode(text or b"") + end
+            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            coded_texts = (x for i in range(0, len(texts), 500) for x in encode(texts[i : i + 500]))
+            for doc, coded in zip(batch.column(0).to_pylist(), coded_texts, strict=True):
+                coded += end
                 for k, at in enumerate(range(0, len(coded), 4 * capacity)):
                     part = coded[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part))
