@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 HOT_SHARE = 64
 
 _OWN_ROOTS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def session(app: str = "tidewright", cores: str = "*", shuffle: int = 8, memory: str = "12g") -> SparkSession:
@@ -29,7 +33,19 @@ def session(app: str = "tidewright", cores: str = "*", shuffle: int = 8, memory:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once an application, unless they can import it already."""
+    package = Path(__file__).resolve().parent
+    home, app = str(package.parent), spark.sparkContext.applicationId
+    if app in _SHIPPED or home == os.getcwd() or home in os.environ.get("PYTHONPATH", "").split(":"):
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='tidewright-')}/tidewright", "zip", home, package.name)
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

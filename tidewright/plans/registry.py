@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewright.plans import olap
+from tidewright.plans import olap, spatial, vessels
 
-MODULES = (olap,)
+MODULES = (olap, spatial, vessels)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -101,6 +101,8 @@ SQL = {
 def with_views(names: str, sql: str) -> str:
     """``sql`` after the named views and whatever common table expressions it starts with."""
     sql = sql.strip()
+    if not names:
+        return sql
     start = next((w for w in ("WITH RECURSIVE ", "WITH ") if sql.startswith(w)), "")
     views = ", ".join(f"{n} AS ({SQL[n]})" for n in names.split())
     return f"{start or 'WITH '}{views}{', ' if start else ' '}{sql[len(start):]}"
