@@ -111,3 +111,10 @@ def test_encounter_survives_a_missing_mark(spark):
     near = spark.createDataFrame(rows, "mmsi long, mark long, lat double, lon double").select("*", F.lit(1.0).alias("sog"), F.lit(0.0).alias("cog"), F.lit(None).cast("timestamp").alias("ts"))
     got = V.encounters(near, 2.0, 10.0).collect()
     assert [(r.first_mark, r.last_mark, r.kind) for r in got] == [(0, 5, "rendezvous")]
+
+
+def test_capped_components(spark):
+    edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)], "source_id string, dest_id string")
+    near = {r.id: r.label for r in G.min_label_components(edges, 10).collect()}
+    assert near["n10"] == "n00" and near["n11"] == "n01" and near["n12"] == "n02"
+    assert set(r.label for r in G.min_label_components(edges, 12).collect()) == {"n00"}

@@ -97,6 +97,25 @@ def graph_summary(edges: DataFrame) -> DataFrame:
     return g.withColumn("density", 2 * F.col("edges") / F.nullif(F.col("nodes") * (F.col("nodes") - 1), F.lit(0)))
 
 
+def top_nodes(edges: DataFrame, n: int) -> DataFrame:
+    ends = edges.select(F.explode(F.array("source_id", "dest_id")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    return ends.orderBy(F.desc("degree"), "id").limit(n).select("id")
+
+
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges with both ends among the nodes."""
+    for c in ("source_id", "dest_id"):
+        edges = edges.join(nodes.withColumnRenamed("id", c), c, "left_semi")
+    return edges.select("source_id", "dest_id", "relationship_type")
+
+
+def cross_domain(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Nodes whose neighbours are of more than one sector, scored by sectors times neighbours."""
+    b = both_ways(edges).join(entities.select(F.col("id").alias("b"), "sector"), "b")
+    g = b.groupBy(F.col("a").alias("id")).agg(F.countDistinct("sector").alias("domains"), F.count(F.lit(1)).alias("n"))
+    return g.where("domains > 1").select("id", "domains", (F.col("domains") * F.col("n")).alias("score"))
+
+
 # Vectors
 
 

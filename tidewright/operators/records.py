@@ -84,4 +84,43 @@ def ancestry(edges: DataFrame, start: str, depth: int = 10) -> DataFrame:
     return out.groupBy("parent_id", "child_id").agg(F.min("depth").alias("depth"))
 
 
+def first_of_group(e: DataFrame, key: str) -> DataFrame:
+    """drop_id → keep_id: every id of a group to the smallest of it."""
+    least = e.groupBy(key).agg(F.min("id").alias("keep_id"))
+    return e.select(F.col("id").alias("drop_id"), key).join(least, key).select("drop_id", "keep_id")
+
+
+def exact_pairs(e: DataFrame, confidence: float = 0.95) -> DataFrame:
+    a, b = (e.select("identifier", "entity_type", F.col("id").alias(f"id_{x}"), F.col("source_name").alias(f"source_{x}")) for x in "ab")
+    return a.join(b, ["identifier", "entity_type"]).where("source_a < source_b").select("id_a", "id_b", F.lit(confidence).alias("confidence"))
+
+
+def typed_edges(r: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Relationship kinds as edge types; others are RELATES_TO, and a missing strength is 1."""
+    key = F.upper(F.regexp_replace(F.trim("relationship_type"), r"[\s-]+", "_"))
+    kind = F.lit("RELATES_TO")
+    for k, v in types.items():
+        kind = F.when(key == k, v).otherwise(kind)
+    return r.select("source_id", "dest_id", kind.alias("edge_type"), F.coalesce("strength", F.lit(1.0)).alias("strength"))
+
+
+def within_budget(rows: DataFrame, group: str, order: str, text: str, budget: int) -> DataFrame:
+    """The longest run of rows from the start of each group whose texts fit a number of bytes."""
+    used = F.sum(F.octet_length(F.coalesce(text, F.lit("")))).over(W.partitionBy(group).orderBy(order, text).rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("used", used).where(F.col("used") <= budget).select(group, order)
+
+
+def quarter_month(year: Column) -> Column:
+    part = year - F.floor(year)
+    return F.when(part < 0.25, 2).when(part < 0.5, 5).when(part < 0.75, 8).otherwise(11)
+
+
+def filled_days(events: DataFrame, days: int) -> DataFrame:
+    """Counts by day and type over the last days of the table, with zeros where there are none."""
+    last = events.agg(F.max(F.to_date("ts")).alias("t")).select(F.explode(F.sequence(F.date_sub("t", days - 1), F.col("t"))).alias("day"))
+    grid = last.crossJoin(F.broadcast(events.select("event_type").distinct()))
+    n = events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return grid.join(n, ["day", "event_type"], "left").select("day", "event_type", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 RECORD = T.StructType([T.StructField("source_name", T.StringType()), T.StructField("source_id", T.StringType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("payload", T.StringType())])

@@ -85,6 +85,13 @@ def matched_by(df: DataFrame, key: str, different: str) -> DataFrame:
     return a.join(b, "k").where("id_a < id_b and da <> db").select("id_a", "id_b", F.col("k").alias("key"))
 
 
+def shared_key_counts(df: DataFrame, key: str, group: str) -> DataFrame:
+    """How many pairs of rows of different groups share a key: from counts, so no pair is made."""
+    c = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key"), F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    a, b = (c.select("key", F.col("g").alias(f"group_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    return a.join(b, "key").where("group_a < group_b").select("key", "group_a", "group_b", (F.col("n_a") * F.col("n_b")).alias("pairs"))
+
+
 def capped_by_group(df: DataFrame, group: str, order: list, cap: int) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("rn") <= cap).drop("rn")
 

@@ -51,7 +51,7 @@ add("jn08_interval_join", lambda s, d: S.followed_by(D.events(s, d), 60, 60.0).s
 add("sy02_causal_chains", lambda s, d: S.causal_chains(D.events(s, d)), "ev", f"WITH p AS (SELECT a.event_type AS type_a, b.event_type AS type_b, count(*) AS observed, avg({LAG}) AS avg_lag_s FROM {FOLLOWS} GROUP BY 1, 2), s AS (SELECT event_type, count(*)::DOUBLE / (SELECT count(*) FROM ev) AS p FROM ev GROUP BY 1), x AS (SELECT p.*, s.p * t.p * (SELECT sum(observed) FROM p) AS expected FROM p JOIN s ON type_a = s.event_type JOIN s t ON type_b = t.event_type) SELECT *, pow(observed - expected, 2) / expected AS chi2 FROM x WHERE observed >= 5 AND expected >= 1")
 add("jn10_co_occurrence", lambda s, d: S.co_occurrence(D.events(s, d), 6.0, 28), "ev", f"SELECT a.source_name AS source_a, b.source_name AS source_b, a.event_type AS type_a, b.event_type AS type_b, count(*) AS n, avg({deg_sql()}) AS avg_deg FROM ev a JOIN ev b ON a.id < b.id AND a.source_name <> b.source_name AND {deg_sql()} <= 6 AND abs(epoch_us(date_trunc('second', a.ts)) - epoch_us(date_trunc('second', b.ts))) < 28 * 86400 * 1000000::BIGINT GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2")
 add("jn11_same_identifier", lambda s, d: S.matched_by(D.entities(s, d), "identifier", "source_name"), "entities", "SELECT a.id AS id_a, b.id AS id_b, a.identifier AS key FROM entities a JOIN entities b ON a.identifier = b.identifier AND a.id < b.id AND a.source_name <> b.source_name")
-add("jn12_same_json_value", lambda s, d: S.matched_by(D.events(s, d).where("id < 800").withColumn("k", F.get_json_object("props", "$.k")), "k", "source_name"), "ev", "WITH j AS (SELECT id, json_extract_string(props, '$.k') AS k, source_name FROM ev WHERE id < 800) SELECT a.id AS id_a, b.id AS id_b, a.k AS key FROM j a JOIN j b ON a.k = b.k AND a.id < b.id AND a.source_name <> b.source_name")
+add("jn12_same_json_value", lambda s, d: S.shared_key_counts(D.events(s, d).withColumn("k", F.get_json_object("props", "$.k")), "k", "source_name"), "ev", "WITH c AS (SELECT json_extract_string(props, '$.k') AS key, source_name, count(*) AS n FROM ev GROUP BY 1, 2) SELECT a.key, a.source_name AS group_a, b.source_name AS group_b, a.n * b.n AS pairs FROM c a JOIN c b ON a.key = b.key AND a.source_name < b.source_name")
 add("jn14_either_key", lambda s, d: S.either_key(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 3).alias("x"), F.col("s_nationkey").alias("y")), table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("x"), F.col("c_nationkey").alias("y")), [("x", "x"), ("y", "y")]), "", "SELECT s_suppkey AS id_a, c_custkey AS id_b FROM supplier JOIN customer ON s_suppkey * 3 = c_custkey OR s_nationkey = c_nationkey")
 add("jn15_capped_pairs", lambda s, d: S.capped_by_group(S.matched_by(D.entities(s, d), "country", "entity_type"), "key", ["id_a", "id_b"], 50), "entities", "SELECT a.id AS id_a, b.id AS id_b, a.country AS key FROM entities a JOIN entities b ON a.country = b.country AND a.id < b.id AND a.entity_type <> b.entity_type QUALIFY row_number() OVER (PARTITION BY a.country ORDER BY a.id, b.id) <= 50")
 add("jn19_nearest_in_time", lambda s, d: S.nearest_in_time(D.tracks(s, d), 7).select("mmsi", "mark", "id", "gap_s"), "tracks", "WITH m AS (SELECT *, unnest(range(CAST(floor(epoch(ts) / 420) AS BIGINT), CAST(floor(epoch(ts) / 420) AS BIGINT) + 2)) AS mark FROM tracks), g AS (SELECT mmsi, mark, id, CAST(abs(epoch(ts) - mark * 420) AS BIGINT) AS gap_s FROM m) SELECT * FROM g WHERE gap_s < 120 QUALIFY row_number() OVER (PARTITION BY mmsi, mark ORDER BY gap_s, id) = 1")
