@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewright.plans import knowledge, live, olap, spatial, vessels
+from tidewright.plans import extras, knowledge, live, olap, spatial, vessels
 
-MODULES = (olap, spatial, vessels, knowledge, live)
+MODULES = (olap, spatial, vessels, knowledge, live, extras)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}
