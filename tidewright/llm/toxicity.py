@@ -129,13 +129,21 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms:
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
-        for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (toxic if y else clean).update(_terms(text or ""))
-        for terms in (list(toxic), [t for t in clean if t not in toxic]):
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            terms = [*toxic, *(t for t in clean if t not in toxic)]
             for i in range(0, len(terms), 10_000):
                 part = terms[i : i + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[t] for t in part], pa.int64()), pa.array([clean[t] for t in part], pa.int64())], ["term", "toxic", "clean"])
+            toxic.clear()
+            clean.clear()
+
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                (toxic if y else clean).update(_terms(text or ""))
+                if len(toxic) + len(clean) > 200_000:
+                    yield from flushed()
+        yield from flushed()
 
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -195,13 +203,17 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms:
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, carry: list[str] | None = None) -> DataFrame:
     """The ``carry`` columns of ``docs`` (all by default), and ``__score``."""
     carry = docs.columns if carry is None else carry
+    # A text that is carried is not sent twice.
+    own = "text" in carry and dict(docs.dtypes)["text"] == "string"
+    rows = docs.select(*carry) if own else docs.select(*carry, F.col("text").cast("string").alias("__read"))
+    at, out = carry.index("text") if own else len(carry), len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for batch in batches:
-            scores = [lexicon.score(lexicon.strength(x, automaton)) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "__score"])
+        for whole in batches:
+            for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                scores = [lexicon.score(lexicon.strength(x, automaton)) for x in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:out], pa.array(scores, pa.float64())], [*batch.schema.names[:out], "__score"])
 
-    rows = docs.select(*carry, F.col("text").cast("string").alias("__read"))
-    schema = rows.drop("__read").schema.add("__score", "double")
+    schema = docs.select(*carry).schema.add("__score", "double")
     return rows.mapInArrow(run, schema)
