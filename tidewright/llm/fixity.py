@@ -53,12 +53,12 @@ def warc_records(pages: DataFrame, per_file: int = 512) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     scratch = Scratch(pages.sparkSession, "warc")
     made = pages.select("page_id", record_bytes(F.col("url"), F.col("html")).alias("record"))
-    made = scratch.save(made.withColumns({"length": F.length("record").cast("long"), "order": F.xxhash64("record"), "range": F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1))}), "made")
+    made = scratch.save(made.withColumns({"length": F.length("record").cast("long"), "order": F.xxhash64("record"), "range": F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)), "salt": F.monotonically_increasing_id()}), "made")
     # A range with more rows than ids (one id many times) is cut by the hash of the row into parts of about per_file.
     sizes = scratch.save(made.groupBy("range").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * per_file).select("range", F.ceil(F.col("n") / per_file).alias("cuts")), "sizes")
     # Such ranges are at most one for each 2 * per_file rows, so Spark decides by their size how to join.
-    made = made.join(sizes, "range", "left").withColumn("cut", F.coalesce(F.pmod(F.hash("order", F.monotonically_increasing_id()), "cuts"), F.lit(0)))
-    w = W.partitionBy("range", "cut").orderBy(F.asc_nulls_first("page_id"), "order", "length")
+    made = made.join(sizes, "range", "left").withColumn("cut", F.coalesce(F.pmod(F.hash("order", "salt"), "cuts"), F.lit(0)))
+    w = W.partitionBy("range", "cut").orderBy(F.asc_nulls_first("page_id"), "order", "salt")
     placed = made.withColumns({"seq": F.row_number().over(w) - 1, "offset": F.coalesce(F.sum("length").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
     return placed.select(F.format_string("pages-%d-%d.warc", "range", "cut").alias("file"), "seq", "page_id", "offset", "length", "record")
 
@@ -88,13 +88,10 @@ def merkle_tree(records: DataFrame, fanout: int = 8, name: str = "tree") -> list
 
 def audit(first: list[DataFrame], second: list[DataFrame], fanout: int = 8) -> DataFrame:
     """Leaves that differ: file, node, first, end (as the first replica has them), missing ('', 'first', 'second')."""
-    low, high = (first, second) if len(first) <= len(second) else (second, first)
-    spark = first[0].sparkSession
-    scratch = Scratch(spark, "audit")
+    scratch = Scratch(first[0].sparkSession, "audit")
     # A taller tree's upper levels have no counterpart: the walk begins at the height both have.
-    top = len(low) - 1
     suspects = None
-    for level in range(top, -1, -1):
+    for level in range(min(len(first), len(second)) - 1, -1, -1):
         a, b = first[level], second[level]
         if suspects is not None:
             a, b = (x.join(suspects, (x["file"] == suspects["f"]) & (F.floor(x["node"] / fanout) == suspects["up"]), "left_semi") for x in (a, b))
@@ -105,7 +102,6 @@ def audit(first: list[DataFrame], second: list[DataFrame], fanout: int = 8) -> D
         found = both.select(F.coalesce("file", "file2").alias("file"), F.coalesce("node", "node2").alias("node"), F.coalesce("first", "first2").alias("first"), F.coalesce("end", "end2").alias("end"), missing.alias("missing"))
         found = scratch.save(found, f"differ-{level}")
         suspects = found.select(F.col("file").alias("f"), F.col("node").alias("up"))
-    del high
     return found
 
 
