@@ -52,10 +52,12 @@ def warc_records(pages: DataFrame, per_file: int = 512) -> DataFrame:
     """file, seq, page_id, offset, length, record (bytes): every page as a record of some archive file."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     scratch = Scratch(pages.sparkSession, "warc")
-    made = pages.select("page_id", record_bytes(F.col("url"), F.col("html")).alias("record"))
-    made = scratch.save(made.withColumns({"length": F.length("record").cast("long"), "order": F.xxhash64("record"), "range": F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)), "salt": F.monotonically_increasing_id()}), "made")
+    pages = pages.withColumn("range", F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)))
     # A range with more rows than ids (one id many times) is cut by the hash of the row into parts of about per_file.
-    sizes = scratch.save(made.groupBy("range").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * per_file).select("range", F.ceil(F.col("n") / per_file).alias("cuts")), "sizes")
+    sizes = scratch.save(pages.groupBy("range").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * per_file).select("range", F.ceil(F.col("n") / per_file).alias("cuts")), "sizes")
+    # The salt is made as the pages are read, before anything is dealt out, so a retried task makes the same.
+    made = pages.select("page_id", "range", record_bytes(F.col("url"), F.col("html")).alias("record"), F.monotonically_increasing_id().alias("salt"))
+    made = made.withColumns({"length": F.length("record").cast("long"), "order": F.xxhash64("record")})
     # Such ranges are at most one for each 2 * per_file rows, so Spark decides by their size how to join.
     made = made.join(sizes, "range", "left").withColumn("cut", F.coalesce(F.pmod(F.hash("order", "salt"), "cuts"), F.lit(0)))
     w = W.partitionBy("range", "cut").orderBy(F.asc_nulls_first("page_id"), "order", "salt")
