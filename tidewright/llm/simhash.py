@@ -190,18 +190,3 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = 2, crowd: i
     named = scratch.save(spread_join(of, ids, "root", "parts", n).select("fp", "n", "component_id", "root"), "named")
     total = fps.agg(F.sum("n")).first()[0] or 0
     return spread_join(marked, named, "fp", "n", total).select("doc_id", "fp", "component_id", "root", *carry)
-
-
-def near_dedup(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One row of each class, with the columns of ``docs``: that of the smallest doc_id, or if none has one, any.
-
-    Rows of one doc_id in one class leave one row. Rows are named by two hashes of doc_id and text, so only those
-    and the fingerprints move until the texts are met once.
-    """
-    text = F.coalesce("text", F.lit(""))
-    key = [F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text).alias("__r1"), F.xxhash64(F.lit("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text).alias("__r2")]
-    rows = simhash_classes(docs.select("doc_id", "text", *key), shingle, radius, carry=("__r1", "__r2"))
-    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("__r1", "__r2")).alias("r"))
-    first = Scratch(docs.sparkSession, "near").save(first.select("r.*"), "first")
-    keyed = docs.select(*docs.columns, *key)
-    return keyed.join(first.hint("merge"), ["__r1", "__r2"], "left_semi").dropDuplicates(["__r1", "__r2"]).select(*docs.columns)
