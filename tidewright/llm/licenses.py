@@ -1,8 +1,10 @@
 """License scans: set-similarity join of text blocks with license templates, and exact base phrases.
 
 Words are maximal runs of ASCII letters, digits and non-ASCII characters after A-Z is lower-cased. A block is a
-line. A block is labelled with a template when it holds at least ``threshold`` of the template's distinct words.
-The join is exact: words are ordered by the number of documents that have them, rarest first, counted over the
+window of words, across line ends, of WINDOW times the template's length: notices are found however they are
+wrapped, and words scattered over a text are not. A block is labelled with a template when it holds at least
+``threshold`` of the template's distinct words. The join is exact: a text that does not match as a whole has no
+block that does, so whole texts are joined first and their windows verify. Words are ordered by the number of documents that have them, rarest first, counted over the
 whole table; a template's first words under that order are indexed (prefix filter), a block too short to hold
 enough words is passed over (length filter), and a shared word too near the end of either list for the needed
 overlap is as well (positional filter). What is left is verified.
@@ -17,7 +19,7 @@ alike; long texts are scanned whole; an empty table gives no rows. Only doc_id a
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 #: Bytes to words: A-Z to a-z, other ASCII that is no letter or digit to a space; all others stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-LINES = bytes(10 if c == 10 else FOLD[c] for c in range(256))
+#: Words in a block for each word of the template.
+WINDOW = 2
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = {
@@ -83,6 +86,23 @@ class Index:
                     found[label] = shared / len(self.sets[label])
         return found
 
+    def blocks(self, label: str, all_words: list[bytes]) -> float:
+        """The best containment of the template in a window of the text, 0 if that is below the threshold."""
+        wanted, span = self.sets[label], WINDOW * len(words(self.templates[label].encode()))
+        held, inside, best = Counter(), deque(), 0
+        for i, w in enumerate(all_words):
+            if w not in wanted:
+                continue
+            inside.append((i, w))
+            held[w] += 1
+            while inside[0][0] <= i - span:
+                gone = inside.popleft()[1]
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+            best = max(best, len(held))
+        return best / len(wanted) if best >= self.need[label] else 0.0
+
 
 def base_places(all_words: list[bytes], phrases: dict[str, str]) -> dict[str, list[int]]:
     """Label to the word numbers at which its phrases start."""
@@ -126,9 +146,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, phras
                 all_words = words(text)
                 have, found = vocabulary.intersection(all_words), {}
                 if not have.isdisjoint(index.first):
-                    for line in text.translate(LINES).split(b"\n"):
-                        for label, part in index.match(have.intersection(line.split())).items():
-                            found[label] = max(found.get(label, 0.0), part)
+                    found = {label: part for label in index.match(have) if (part := index.blocks(label, all_words))}
                 places = base_places(all_words, phrases)
                 starts = [p for v in places.values() for p in v]
                 score = 1.0 if starts else max(found.values(), default=0.0)
