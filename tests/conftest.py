@@ -1,6 +1,6 @@
 import pytest
 
-from tidewright.common import session
+from tidewright.common import release, session
 
 
 @pytest.fixture(scope="session")
@@ -8,3 +8,4 @@ def spark():
     s = session("tests", cores="4", shuffle=4, memory="4g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    release()

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key counts as hot when it holds more than 1/HOT_SHARE of the rows, so there are at most HOT_SHARE hot keys.
@@ -60,15 +60,69 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def col(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(taken: list[str], stem: str) -> str:
+    """A column name like ``stem`` that is not taken; Spark does not tell cases apart."""
+    known = {c.lower() for c in taken}
+    while stem.lower() in known:
+        stem += "_"
+    return stem
+
+
+class Files:
+    """Small files and folders in any store that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm, self.root = spark._jvm, root.rstrip("/")
+        self.system = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+
+    def names(self) -> list[str]:
+        return [x.getPath().getName() for x in self.system.listStatus(self._path(""))] if self.system.exists(self._path("")) else []
+
+    def read(self, name: str) -> str:
+        stream = self.system.open(self._path(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Whole or not at all: the file gets its name once it is written."""
+        part = f"{name}.{uuid.uuid4().hex[:8]}.part"
+        stream = self.system.create(self._path(part))
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        if not self.system.rename(self._path(part), self._path(name)):
+            self.drop(part)
+            raise FileExistsError(f"{self.root}/{name}")
+
+    def drop(self, name: str = "") -> None:
+        self.system.delete(self._path(name), True)
+
+
+_SCRATCHES: list[Scratch] = []
+
+
 class Scratch:
     """Parquet tables in the shared folder: they cut lineage and outlive any executor.
 
-    ``save`` writes a frame and returns it as read back; ``drop`` deletes tables no longer needed.
+    ``save`` writes a frame and returns it as read back; ``drop`` deletes tables no longer needed. What is left is
+    deleted by ``release``, once the results that read it are no longer needed.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/tidewright/{label}-{uuid.uuid4().hex[:12]}"
+        _SCRATCHES.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -78,10 +132,19 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names or ("",):
-            where = jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            Files(self.spark, self.root).drop(name)
+
+
+def scratches() -> int:
+    """A mark for ``release``: how many scratch folders there are."""
+    return len(_SCRATCHES)
+
+
+def release(since: int = 0) -> None:
+    """Deletes the scratch folders made since the mark. Frames that read them are of no more use."""
+    while len(_SCRATCHES) > since:
+        _SCRATCHES.pop().drop()
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, total: int, how: str = "inner") -> DataFrame:

@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
 
     Nulls and self-loops are ignored; repeated edges count once; an empty table gives an empty result. Nodes
     without an edge to another node are absent: the caller keeps them as their own root. The result reads a
-    table in the shared folder, which lives until the caller drops the scratch.
+    table in the shared folder, which lives until the caller drops the scratch. Edges that are not settled after
+    ``max_rounds`` (more than any path takes that fits in a cluster) are an error, never a partial result.
     """
     e = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = scratch.save(e, "edges-0")
@@ -43,4 +44,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components were not settled after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
