@@ -60,6 +60,71 @@ def test_markup(page, text):
     assert H.main_text(page) == text
 
 
+ONE = "The first paragraph of the story goes on for a while, as they do, and then it ends."
+TWO = "A second paragraph has rather more to say about the matter than the first one did."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="has-sidebar"><article><p>{ONE}</p><p>{TWO}</p></article></div>',
+        f'<div class="layout no-sidebar"><main><p>{ONE}</p><p>{TWO}</p></main></div>',
+        f'<div class="sidebar"><article><p>{ONE}</p><p>{TWO}</p></article></div>',
+        f'<div id="content" class="no-ads"><p>{ONE}</p><p>{TWO}</p></div>',
+        f'<form id=page><main><p>{ONE}</p><p>{TWO}</p><form><p>Sign up here for all of our news now.</p></form></main></form>',
+        f'<article><p class="ad-hoc">{ONE}</p><p data-id="comment-12">{TWO}</p></article>',
+        f'<article><p title="a hidden gem">{ONE}</p><p data-hidden="false">{TWO}</p></article>',
+        f'<article><a href="/hidden-gems"><p>{ONE}</p></a><p>{TWO}</p></article>',
+        f"<article><p><a href=/it's>The first</a>{ONE[9:]}</p><p>{TWO}</p></article>",
+        f'<article><p title="unclosed>{ONE}</p><p>{TWO}</p></article>',
+        f"<article><p title='a \"quoted\" > one'>{ONE}</p><p id=x class='b'>{TWO}</p></article>",
+        f'<main><p>{ONE}</p><p>{TWO}</p><section id="comments"><article class="comment"><p>I do not agree with a single word of it, and never will.</p></article></section></main>',
+        f'<article><p>{ONE}</p><p>{TWO}</p><ol><li id="comment-12"><p>I do not agree with a single word of it, and never will.</p></li></ol></article>',
+        f'<article><p>{ONE}</p><p>{TWO}</p></article><div class="related"><article><p>Read this other thing here today.</p></article></div>',
+        f"<div class=page><div><a href=/>Home</a> <a href=/x>About us</a></div><div>{ONE}</div><div>{TWO}</div><div>Share</div></div>",
+        f"<article><svg/><p>{ONE}</p></ p><!--> <p>{TWO}</p></article>",
+        "<nav>" * 600 + "<p>Menu</p>" + "</nav>" * 600 + f"<p>{ONE}</p><p>{TWO}</p>",
+    ],
+)
+def test_names_and_attributes(page):
+    fitted = H.fitted(*training("/root/testdata/sf0.001"))
+    assert H.main_text(page) == H.main_text(page, fitted) == f"{ONE}\n{TWO}"
+
+
+def training(sf):
+    rows, labels = [], []
+    for r in pq.read_table(f"{sf}/pages.parquet").to_pylist():
+        x, hard, inside, _ = H.features(H.parsed(r["html"]))
+        rows.append(x[~hard])
+        labels.append(inside[~hard])
+    return np.vstack(rows), np.concatenate(labels).astype(float)
+
+
+def test_fit_is_the_least_loss(spark):
+    rows, labels = training("/root/testdata/sf0.001")
+    share = np.where(labels > 0, min(1, (1 - labels).sum() / labels.sum()), min(1, labels.sum() / (1 - labels).sum()))
+
+    def loss(w):
+        z = rows @ np.array(w)
+        return float((share * (np.logaddexp(0, z) - labels * z)).sum() + 25 * ((np.array(w) - np.array(H.PRIOR)) ** 2).sum())
+
+    w = H.fitted(rows, labels)
+    assert loss(w) < loss(H.PRIOR)
+    for i in range(len(w)):
+        for step in (-1e-3, 1e-3):
+            assert loss(w) <= loss([x + step * (k == i) for k, x in enumerate(w)])
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    assert H.fit(pages) == pytest.approx(w, abs=1e-4)
+    assert H.fit(pages.where("false")) == H.PRIOR
+
+
+def test_random_markup_never_fails():
+    rng = np.random.default_rng(11)
+    bits = ["<p>", "</p>", "<div class='", '"', "'", ">", "<a href=", "</a>", "<article>", "</article>", "text. ", "<!--", "-->", "<script>", "</script>", "<", "</", "&amp", "&#0;", "<li>", "<table><td>", "\n", "=", "/", "<button>", "\u0130"]
+    for _ in range(4000):
+        H.main_text("".join(rng.choice(bits, rng.integers(0, 40))))
+
+
 def test_cut_is_the_cheapest():
     rng = np.random.default_rng(7)
     for _ in range(60):
