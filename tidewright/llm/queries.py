@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.common import Scratch, table
 from tidewright.llm.exact_dedup import exact_dedup
-from tidewright.llm.fixity import audit, damaged, merkle_tree, warc_records
+from tidewright.llm.fixity import audit, damaged, digest, merkle_tree, placed, warc_records
 from tidewright.llm.html_text import extract
 from tidewright.llm.licenses import license_scan
 from tidewright.llm.line_dedup import line_dedup
@@ -38,10 +38,13 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record in the archive, and whether the audit of a damaged replica finds it corrupt there."""
-    records = Scratch(spark, "replica").save(warc_records(table(spark, sf_dir, "pages")), "first")
-    tree = merkle_tree(records)
-    found = audit(tree, merkle_tree(damaged(records)))
-    rows = records.select("file", "seq", "page_id", "offset", "length").join(tree[0].select("file", F.col("node").alias("seq"), F.lower(F.hex("hash")).alias("leaf")), ["file", "seq"])
+    pages = table(spark, sf_dir, "pages")
+    # One reading of the pages gives both replicas' digests: the drill damages records in place.
+    both = warc_records(pages).select("page_id", "salt", F.length("record").cast("long").alias("length"), digest(F.col("record")).alias("digest"), digest(damaged(F.col("record"))).alias("other"))
+    index = Scratch(spark, "replica").save(placed(both, pages.count()).drop("salt"), "index")
+    tree = merkle_tree(index)
+    found = audit(tree, merkle_tree(index.withColumn("digest", F.col("other"))))
+    rows = index.select("file", "seq", "page_id", "offset", "length").join(tree[0].select("file", F.col("node").alias("seq"), F.lower(F.hex("hash")).alias("leaf")), ["file", "seq"])
     bad = found.select("file", F.col("node").alias("seq"), F.lit(True).alias("bad"))
     return rows.join(bad, ["file", "seq"], "left").select("page_id", "file", "offset", "length", "leaf", F.coalesce("bad", F.lit(False)).alias("corrupt"))
 
