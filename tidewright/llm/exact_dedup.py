@@ -1,8 +1,9 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a table of text digests, bucketed and sorted by digest. A batch is reduced to one row a digest
-(with map-side aggregation), anti-joined with the index in a sort-merge join that neither shuffles nor sorts the
-index, and what is new is appended to the same buckets. Only DataFrame functions are used.
+The index is a table of text digests, bucketed and sorted by digest, in the shared folder (``bucketed``). A batch is
+reduced to one row a digest (with map-side aggregation), anti-joined with the index in a sort-merge join that does not
+shuffle the index, and what is new is appended to the same buckets. A table is fed to the index in batches of ascending doc_id, so
+that the smallest doc_id of a text is the one that stays. Only DataFrame functions are used.
 
 Defined results: a null text counts as the empty text, and all such rows form one group; repeated rows of one
 doc_id are rows of one group like any other; a null doc_id stays only where a group has no other id; ties do
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.common import Scratch, spread_join
+from tidewright.llm.bucketed import BucketStore
+from tidewright.llm.line_dedup import in_batches
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -29,34 +32,46 @@ def digested(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """``buckets`` is fixed when the index is made: choose it so that one bucket of the expected index sorts in
-    a task's memory (a digest and its owner take 40 bytes; 4,096 buckets hold 10^11 documents at 1 GB each)."""
+    """An index is opened by its name, or made. ``buckets`` is fixed when it is made: choose it so that one bucket of
+    the expected index sorts in a task's memory (a digest and its owner take 40 bytes; 4,096 buckets hold 10^11
+    documents at 1 GB each)."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = 48):
-        self.spark, self.buckets = spark, buckets
-        self.name = name or f"digest_index_{uuid.uuid4().hex[:12]}"
-        self.scratch = Scratch(spark, "exact")
-        if not spark.catalog.tableExists(self.name):
-            self._append(spark.createDataFrame([], "digest binary, keep_id long"))
-
-    def _append(self, rows: DataFrame) -> None:
-        rows = rows.repartition(self.buckets, "digest")
-        rows.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").saveAsTable(self.name)
+        self.store = BucketStore(spark, ["digest"], "digest BINARY, keep_id BIGINT", buckets, name)
+        self.name = self.store.name
+        if not self.store.tables:
+            self.store.create()
+            self.store.record()
 
     def table(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def ingest(self, docs: DataFrame) -> DataFrame:
-        """Adds the batch; per row of it: doc_id, digest, keep_id, group_size (rows of this batch), kept."""
-        batch = f"batch-{uuid.uuid4().hex[:8]}"
-        d = self.scratch.save(digested(docs), f"{batch}/digests")
-        groups = self.scratch.save(d.groupBy("digest").agg(F.min("doc_id").alias("own"), F.count(F.lit(1)).alias("group_size")), f"{batch}/groups")
-        total = groups.agg(F.sum("group_size")).first()[0] or 0
-        self._append(groups.join(self.table().hint("merge"), "digest", "left_anti").select("digest", F.col("own").alias("keep_id")))
-        found = groups.join(self.table().hint("merge"), "digest").select("digest", "keep_id", "group_size", F.col("group_size").alias("weight"))
-        out = spread_join(d, self.scratch.save(found, f"{batch}/found"), "digest", "weight", total)
+        return self.store.table(next(iter(self.store.tables)))
+
+    def add(self, groups: DataFrame) -> None:
+        """Appends the digests of ``groups`` (digest, own: the smallest doc_id) that the index has not."""
+        new = groups.join(self.table().hint("merge"), "digest", "left_anti").select("digest", F.col("own").alias("keep_id"))
+        self.store.append(next(iter(self.store.tables)), new.repartition(self.store.buckets, "digest"))
+
+    def ingest(self, docs: DataFrame, batches: int = 1) -> DataFrame:
+        """Adds the rows; for each of them: doc_id, digest, keep_id, group_size (among these rows), kept."""
+        scratch = Scratch(docs.sparkSession, f"exact-{uuid.uuid4().hex[:8]}")
+        d = scratch.save(digested(docs), "digests")
+        for i, part in enumerate(in_batches(d, batches)):
+            self.add(scratch.save(part.groupBy("digest").agg(F.min("doc_id").alias("own")), f"groups-{i}"))
+        sizes = d.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+        found = sizes.join(self.table().hint("merge"), "digest").select("digest", "keep_id", "group_size", F.col("group_size").alias("weight"))
+        found = scratch.save(found, "found")
+        total = found.agg(F.sum("group_size")).first()[0] or 0
+        out = spread_join(d, found, "digest", "weight", total)
         return out.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
+    def drop(self) -> None:
+        self.store.drop()
+
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    return (index or DigestIndex(docs.sparkSession)).ingest(docs)
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
+    """Without an ``index``, one of its own, which goes as soon as every row has its group."""
+    own = index or DigestIndex(docs.sparkSession)
+    out = own.ingest(docs, batches)
+    if index is None:
+        own.drop()
+    return out
