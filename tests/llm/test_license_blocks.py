@@ -1,5 +1,7 @@
 """Licence notices across line ends, and words that only a long line has together."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 
@@ -27,5 +29,26 @@ def test_windows_are_those_of_brute_force(threshold):
         template = list(rng.choice(vocabulary, rng.integers(1, 7)))
         text = [w.encode() for w in rng.choice([*vocabulary, "x", "y"], rng.integers(0, 40))]
         index, s, span = L.Index({"t": " ".join(template)}, threshold), {w.encode() for w in template}, L.WINDOW * len(template)
-        best = max((len(s.intersection(text[i : i + span])) / len(s) for i in range(len(text))), default=0.0)
-        assert index.blocks("t", text) == (best if best >= threshold - 1e-9 else 0.0)
+        order = [w.encode() for w in template]
+
+        def fits(block):
+            return len(s.intersection(block)) >= threshold * len(s) - 1e-9 and longest(order, block) >= threshold * len(order) - 1e-9
+
+        best = max((len(s.intersection(b)) / len(s) for i in range(len(text)) if fits(b := text[i : i + span])), default=0.0)
+        assert index.blocks("t", text) == best
+
+
+def longest(a, b):
+    """The most words of a that are a subsequence of b, by trying all of them."""
+    for n in range(len(a), 0, -1):
+        for part in combinations(a, n):
+            rest = iter(b)
+            if all(w in rest for w in part):
+                return n
+    return 0
+
+
+def test_words_out_of_order_do_not_match(spark):
+    rows = [(1, "under mit license the released"), (2, "it is released, freely, under the MIT license"), (3, "license license license released mit the under")]
+    got = {r.doc_id: r.labels for r in L.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "mit", 3: ""}

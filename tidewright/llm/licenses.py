@@ -4,10 +4,11 @@ Words are maximal runs of ASCII letters, digits and non-ASCII characters after A
 window of words, across line ends, of WINDOW times the template's length: notices are found however they are
 wrapped, and words scattered over a text are not. A block is labelled with a template when it holds at least
 ``threshold`` of the template's distinct words. The join is exact: a text that does not match as a whole has no
-block that does, so whole texts are joined first and their windows verify. Words are ordered by the number of documents that have them, rarest first, counted over the
-whole table; a template's first words under that order are indexed (prefix filter), a block too short to hold
-enough words is passed over (length filter), and a shared word too near the end of either list for the needed
-overlap is as well (positional filter). What is left is verified.
+block that does, so whole texts are joined first and their windows verify. Words are ordered by the number of
+documents that have them, rarest first, counted over the whole table; a template's first words under that order are
+indexed (prefix filter), a block too short to hold enough words is passed over (length filter), and a shared word too
+near the end of either list for the needed overlap is as well (positional filter). What is left is verified, and then
+read: of the template's words at least the share ``threshold`` must stand in the block in the template's order.
 
 Templates are a fixed list, so their index is part of the function that scans; text is read twice and never
 shuffled.
@@ -87,8 +88,9 @@ class Index:
         return found
 
     def blocks(self, label: str, all_words: list[bytes]) -> float:
-        """The best containment of the template in a window of the text, 0 if that is below the threshold."""
-        wanted, span = self.sets[label], WINDOW * len(words(self.templates[label].encode()))
+        """The best containment of the template in a window of the text that has its words in order, else 0."""
+        wanted, order = self.sets[label], words(self.templates[label].encode())
+        span, needed = WINDOW * len(order), math.ceil(self.threshold * len(order) - 1e-9)
         held, inside, best = Counter(), deque(), 0
         for i, w in enumerate(all_words):
             if w not in wanted:
@@ -100,8 +102,19 @@ class Index:
                 held[gone] -= 1
                 if not held[gone]:
                     del held[gone]
-            best = max(best, len(held))
-        return best / len(wanted) if best >= self.need[label] else 0.0
+            if len(held) > best and len(held) >= self.need[label] and in_order(order, [x for _, x in inside]) >= needed:
+                best = len(held)
+        return best / len(wanted)
+
+
+def in_order(template: list[bytes], block: list[bytes]) -> int:
+    """The most words of the template that the block has in the template's order."""
+    row = [0] * (len(template) + 1)
+    for w in block:
+        before = 0
+        for j, t in enumerate(template, 1):
+            before, row[j] = row[j], before + 1 if t == w else max(row[j], row[j - 1])
+    return row[-1]
 
 
 def base_places(all_words: list[bytes], phrases: dict[str, str]) -> dict[str, list[int]]:
