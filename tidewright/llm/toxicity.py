@@ -7,8 +7,9 @@ word or the start of a word. Hits inside an exception phrase do not count. The w
 
 The lexicon is learned from labelled rows: of at most ``max_rows`` rows (half of them toxic, those of the smallest
 hashed doc_id), terms that toxic rows have and others lack are taken greedily by the toxic rows they add, the most
-specific first among equals; a term's weight is its smoothed log-odds. Without labels a small general list is used.
-Only the text is an input of a score.
+specific first among equals; a term's weight is its smoothed log-odds. Two words, one of them hit, that several clean
+rows have and no toxic one become exception phrases. Without labels a small general list is used. Only the text is
+an input of a score.
 
 Defined results: a null or empty text has no hits and the lowest score; long texts are matched whole; repeated
 rows score alike; labels that are null are ignored; an empty table gives no rows. Other columns pass through.
@@ -26,8 +27,9 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidewright.common import Scratch
+from tidewright.common import Scratch, col, free_name
 
 HOMOGLYPHS = str.maketrans(
     "абвгдезикмнорстухѕіјԁһԛԝαβεικνορτυχϲ" + "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ" + "０１２３４５６７８９",
@@ -43,6 +45,8 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "idiot proof", "scum of th
 STEM = range(4, 13)
 #: How far below certainty (in nats, over all terms) a term may be, and by how many terms a toxic row is covered.
 CHANCE, COVER = 3.0, 8
+#: Clean rows that must share a phrase before it is an exception.
+CALM = 3
 
 
 def folded(text: str) -> str:
@@ -79,27 +83,34 @@ class Lexicon:
             out.make_automaton()
         return out
 
-    def strength(self, text: str | None, automaton: ahocorasick.Automaton) -> float:
-        if not text or not len(automaton):
-            return 0.0
-        text = folded(text)
-        hits, safe, n = [], [], len(text)
-        for end, entries in automaton.iter(text):
+    def hits(self, folded_text: str, automaton: ahocorasick.Automaton) -> dict[int, tuple[int, float]]:
+        """Where terms start, outside exception phrases, to the end and the weight of the heaviest term there."""
+        hits, safe, n = [], [], len(folded_text)
+        for end, entries in automaton.iter(folded_text):
             for kind, length, weight, whole in entries:
                 start = end - length + 1
-                if (start and text[start - 1].isalpha()) or (whole and end + 1 < n and text[end + 1].isalpha()):
+                if (start and folded_text[start - 1].isalpha()) or (whole and end + 1 < n and folded_text[end + 1].isalpha()):
                     continue
                 if kind == "exception":
                     safe.append((start, end))
                 else:
                     hits.append((start, end, weight))
-        if not hits:
+        best: dict[int, tuple[int, float]] = {}
+        # Phrases in order of their starts: one covers a hit if it reaches far enough and starts early enough.
+        safe.sort()
+        reach, k, last = -1, 0, sorted(hits)
+        for start, end, weight in last:
+            while k < len(safe) and safe[k][0] <= start:
+                reach, k = max(reach, safe[k][1]), k + 1
+            if end > reach and (start not in best or weight > best[start][1]):
+                best[start] = (end, weight)
+        return best
+
+    def strength(self, text: str | None, automaton: ahocorasick.Automaton) -> float:
+        if not text or not len(automaton):
             return 0.0
-        best: dict[int, float] = {}
-        for start, end, weight in hits:
-            if not any(a <= start and end <= b for a, b in safe):
-                best[start] = max(best.get(start, 0.0), weight)
-        return sum(best.values()) / (1 + math.log1p(len(text.split())))
+        found = self.hits(folded(text), automaton)
+        return sum(w for _, w in found.values()) / (1 + math.log1p(len(text.split()))) if found else 0.0
 
     def score(self, strength: float) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * (strength - self.middle)))))
@@ -123,7 +134,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").select("text", "toxic")
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms: int = 4_000) -> Lexicon:
+def _phrases(text: str, lexicon: Lexicon, automaton: ahocorasick.Automaton) -> set[str]:
+    """Pairs of words with one space between them of which one is hit."""
+    text = folded(text)
+    found = lexicon.hits(text, automaton) if len(automaton) else {}
+    if not found:
+        return set()
+    words = [(m.start(), m.end()) for m in LETTERS.finditer(text)]
+    at = {a: i for i, (a, _) in enumerate(words)}
+    pairs = {j for start in found if (i := at.get(start)) is not None for j in (i - 1, i) if 0 <= j < len(words) - 1}
+    return {text[words[j][0] : words[j + 1][1]] for j in pairs if text[words[j][1] : words[j + 1][0]] == " "}
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Lexicon:
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = scratch.save(labelled_sample(docs, labels, max_rows), "sample")
 
@@ -153,7 +176,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms:
     # A term that toxic rows have by chance alone is so unlikely among all terms seen.
     least = max(3.0, (math.log(max(every.count(), 1)) - CHANCE) / math.log((n1 + n0) / n1))
     found = every.where((F.col("toxic") >= least) & (F.col("clean") / n0 <= 0.1 * F.col("toxic") / n1))
-    rows = found.orderBy(F.desc("toxic"), "clean", F.desc(F.length("term")), "term").limit(max_terms).collect()
+    # As many as the sample's toxic rows share, whatever the table: the bound is that of the rows.
+    rows = found.collect()
     odds = {r.term: math.log((r.toxic + 0.5) / (n1 + 1)) - math.log((r.clean + 0.5) / (n0 + 1)) for r in rows}
     names = sorted(odds)
     at = {t: i for i, t in enumerate(names)}
@@ -179,7 +203,16 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms:
         # What a chosen stem begins, or begins it, is found already; rows found often enough need no more terms.
         stem = names[t].rstrip("$")
         of = {k: rest for k, v in of.items() if not names[k].startswith(stem) and not stem.startswith(names[k]) and (rest := v - done)}
-    lexicon = Lexicon(terms=chosen)
+    lexicon = Lexicon(terms=chosen, exceptions=())
+
+    def calm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for batch in batches:
+            pairs = [(p, y) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in _phrases(x or "", lexicon, automaton)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.string()), pa.array([y for _, y in pairs], pa.int32())], ["phrase", "toxic"])
+
+    phrases = sample.mapInArrow(calm, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    lexicon = Lexicon(terms=chosen, exceptions=tuple(sorted(r.phrase for r in phrases.where((F.col("toxic") == 0) & (F.col("n") >= CALM)).collect())))
 
     def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
@@ -200,12 +233,13 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms:
     return lexicon
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon, carry: list[str] | None = None) -> DataFrame:
-    """The ``carry`` columns of ``docs`` (all by default), and ``__score``."""
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, carry: list[str] | None = None, score: str = "__score") -> DataFrame:
+    """The ``carry`` columns of ``docs`` (all by default), and ``score``, which no carried column may be named."""
     carry = docs.columns if carry is None else carry
-    # A text that is carried is not sent twice.
+    # A text that is carried is not sent twice. Columns go by number, whatever they are named.
     own = "text" in carry and dict(docs.dtypes)["text"] == "string"
-    rows = docs.select(*carry) if own else docs.select(*carry, F.col("text").cast("string").alias("__read"))
+    kept = [col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    rows = docs.select(*kept) if own else docs.select(*kept, F.col("text").cast("string").alias("read"))
     at, out = carry.index("text") if own else len(carry), len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +247,13 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, carry: list[str] | None =
         for whole in batches:
             for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
                 scores = [lexicon.score(lexicon.strength(x, automaton)) for x in batch.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:out], pa.array(scores, pa.float64())], [*batch.schema.names[:out], "__score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:out], pa.array(scores, pa.float64())], [*batch.schema.names[:out], "score"])
+
+    schema = StructType([*rows.schema.fields[:out], StructField("score", DoubleType())])
+    return rows.mapInArrow(run, schema).toDF(*carry, score)
+
 
-    schema = docs.select(*carry).schema.add("__score", "double")
-    return rows.mapInArrow(run, schema)
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``least``, with its columns."""
+    score = free_name(docs.columns, "__score")
+    return score_toxicity(docs, lexicon, score=score).where(F.col(score) < least).select(*map(col, docs.columns))
