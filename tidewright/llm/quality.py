@@ -2,18 +2,21 @@
 
 Each text gives counts and from them a vector of transformed statistics (FEATURES). Documents that pass the base
 rules are grouped by language and source, and each group's centre and scatter are those of the ``coverage`` share
-of its rows with the least covariance determinant: from medians and quartile ranges, concentration steps take the
-rows nearest in Mahalanobis distance and estimate again, which never raises the determinant. The estimate is made
-consistent for normal data, reweighted once, and rows beyond the chi-squared quantile ``keep`` are rejected.
+of its rows with the least covariance determinant. The search begins from several starts: medians and quartile
+ranges, all rows, and random small subsets. A concentration step takes the rows nearest in Mahalanobis distance and
+estimates again, which does not raise the determinant. After two steps the start with the least determinant is kept, and
+steps go on until no group's determinant falls. The estimate is made consistent for normal data, reweighted
+once, and rows beyond the chi-squared quantile ``keep`` are rejected.
 
 All of it is DataFrame functions. Text is read once; steps run over the stored vectors. A step adds up counts,
 sums and products by group and bin of distance with map-side aggregation, so no group is ever brought together:
-a group of a third of all rows costs each task a few hundred rows of sums. Quantiles are those of the bins, so
-results do not depend on the order of rows. The factor of a scatter (Cholesky) is written out as expressions.
+a group of a third of all rows costs each task a few hundred rows of sums. Of the last bin that a share needs, each
+row counts in part, so every start is judged on the same number of rows and results do not depend on the order of
+rows. The factor of a scatter (Cholesky) is written out as expressions.
 
 Defined results: a null text has no words, and fails the base rules; a null language or source is a value like any
-other; groups of fewer than ``min_rows`` rows are pooled by language, then over all, and if that is too few no row
-is an outlier; a statistic that hardly varies has at least the spread in FEATURES; repeated rows and ties are judged
+other; groups of fewer than ``min_rows`` rows, too few for a scatter of their own, are pooled by language, then over
+all; a statistic that hardly varies has at least the spread in FEATURES; repeated rows and ties are judged
 alike; long texts are read whole; an empty table gives no rows. Other columns pass through, whatever their names.
 """
 
@@ -25,15 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewright.common import Scratch, spread_join
+from tidewright.common import Scratch, col, spread_join
 
 BLANKS = " \t\n\x0b\f\r"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Statistic, and the least standard deviation that is believed.
-FEATURES = {"size": 0.8, "word_length": 0.06, "symbols": 0.25, "capitals": 0.2, "same_lines": 0.5, "repeats": 0.5}
+FEATURES = {"size": 0.8, "word_length": 0.06, "symbols": 0.25, "capitals": 0.2, "same_lines": 0.3, "repeats": 0.24}
 P = len(FEATURES)
 BIN, BINS = 0.05, 400
 BROADCAST_GROUPS = 10_000
+#: Random starts, the rows of each (about), and the fall of a log determinant that ends the steps.
+RANDOM_STARTS, SUBSET, SETTLED = 2, 5 * P, 1e-4
 
 
 def chi2_quantile(p: float, dof: int) -> float:
@@ -100,7 +105,8 @@ def _pairs() -> list[tuple[int, int]]:
 
 
 def _with_factor(groups: DataFrame, scale: float) -> DataFrame:
-    """From m0.. and c0_0.. (covariances) the Cholesky factor l0_0.. of the scaled, floored scatter."""
+    """Per group and start, from m0.. and c0_0.. (covariances): the Cholesky factor l0_0.. of the scaled, floored
+    scatter, and its log determinant."""
     for i, floor in enumerate(FEATURES.values()):
         for j in range(i + 1):
             c = scale * F.col(f"c{i}_{j}")
@@ -110,39 +116,50 @@ def _with_factor(groups: DataFrame, scale: float) -> DataFrame:
                 c = c - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
             # Raising a variance to its floor keeps a scatter positive; the last guard is against rounding.
             groups = groups.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == j else c / F.col(f"l{j}_{j}"))
-    return groups.select("group", *[f"m{i}" for i in range(P)], *[f"l{i}_{j}" for i, j in _pairs()], "rows")
+    det = sum((2 * F.log(f"l{i}_{i}") for i in range(1, P)), 2 * F.log("l0_0"))
+    return groups.select("group", "start", "rows", det.alias("det"), *[f"m{i}" for i in range(P)], *[f"l{i}_{j}" for i, j in _pairs()])
 
 
-def _with_distance(rows: DataFrame, groups: DataFrame, few: bool, total: int) -> DataFrame:
-    """Adds __d, the Mahalanobis distance to the row's group."""
-    if few:
-        df = rows.join(F.broadcast(groups.drop("rows")), "group", "left")
-    else:
-        df = spread_join(rows, groups, "group", "rows", total, "left")
+def _with_distance(rows: DataFrame, params: DataFrame, few: bool, total: int) -> DataFrame:
+    """A row for each of the row's group's starts, with ``start`` and __d, the Mahalanobis distance."""
+    shape = [c for c in params.columns if c not in ("group", "rows", "det")]
+    # One row a group, so that the join never multiplies the rows of a hot group in one task.
+    groups = params.groupBy("group").agg(F.collect_list(F.struct(*shape)).alias("__starts"), F.max("rows").alias("rows"))
+    df = rows.join(F.broadcast(groups.drop("rows")), "group", "left") if few else spread_join(rows, groups, "group", "rows", total, "left")
+    df = df.select(*rows.columns, F.explode_outer("__starts").alias("__s")).select(*rows.columns, "__s.*")
     for i, name in enumerate(FEATURES):
         z = F.col(name) - F.col(f"m{i}")
         for k in range(i):
             z = z - F.col(f"l{i}_{k}") * F.col(f"__z{k}")
         df = df.withColumn(f"__z{i}", z / F.col(f"l{i}_{i}"))
     square = sum((F.col(f"__z{i}") * F.col(f"__z{i}") for i in range(1, P)), F.col("__z0") * F.col("__z0"))
-    return df.withColumn("__d", F.sqrt(square)).select(*rows.columns, "__d")
+    return df.withColumn("__d", F.sqrt(square)).select(*rows.columns, "start", "__d")
 
 
-def _estimate(rows: DataFrame, share: float | None = None, within: float | None = None) -> DataFrame:
-    """Means and covariances by group over the bins of distance that hold the nearest ``share`` of its rows, or that are ``within``."""
+def _sums() -> list[Column]:
     names = list(FEATURES)
-    binned = rows.withColumn("bin", F.least(F.floor(F.col("__d") / BIN), F.lit(BINS)).cast("int"))
-    sums = [F.sum(n).alias(f"s{i}") for i, n in enumerate(names)] + [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"q{i}_{j}") for i, j in _pairs()]
-    by_bin = binned.groupBy("group", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
-    group = W.partitionBy("group")
-    by_bin = by_bin.withColumns({"rows": F.sum("n").over(group), "before": F.sum("n").over(group.orderBy("bin").rowsBetween(W.unboundedPreceding, -1))})
-    used = F.coalesce(F.col("before"), F.lit(0)) < share * F.col("rows") if share else F.col("bin") * BIN < within
-    total = by_bin.where(used).groupBy("group").agg(F.max("rows").alias("rows"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in by_bin.columns if c[0] in "sq"])
-    means = total.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(P)})
+    return [F.sum(n).alias(f"s{i}") for i, n in enumerate(names)] + [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"q{i}_{j}") for i, j in _pairs()]
+
+
+def _moments(sums: DataFrame) -> DataFrame:
+    """Means and covariances from n and the sums."""
+    means = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(P)})
     return means.withColumns({f"c{i}_{j}": F.col(f"q{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in _pairs()})
 
 
-def _start(rows: DataFrame) -> DataFrame:
+def _estimate(rows: DataFrame, share: float | None = None, within: float | None = None) -> DataFrame:
+    """Means and covariances by group and start of the nearest ``share`` of the rows, or of the bins of distance ``within``."""
+    binned = rows.withColumn("bin", F.least(F.floor(F.col("__d") / BIN), F.lit(BINS)).cast("int"))
+    by_bin = binned.groupBy("group", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *_sums())
+    group = W.partitionBy("group", "start")
+    by_bin = by_bin.withColumns({"rows": F.sum("n").over(group), "before": F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
+    part = F.greatest(F.least((share * F.col("rows") - F.col("before")) / F.col("n"), F.lit(1.0)), F.lit(0.0)) if share else (F.col("bin") * BIN < within).cast("double")
+    weighed = by_bin.withColumn("part", part).where("part > 0")
+    total = weighed.groupBy("group", "start").agg(F.max("rows").alias("rows"), *[F.sum(F.col("part") * F.col(c)).alias(c) for c in by_bin.columns if c == "n" or c[0] in "sq" and c[1].isdigit()])
+    return _moments(total)
+
+
+def _quartiles(rows: DataFrame) -> DataFrame:
     """Medians, and squared quartile ranges as variances, from bins of 0.01 of each statistic."""
     tall = rows.select("group", F.explode(F.array(*[F.struct(F.lit(i).alias("of"), F.floor(F.col(n) * 100).cast("int").alias("bin")) for i, n in enumerate(FEATURES)])).alias("x")).select("group", "x.*")
     bins = tall.groupBy("group", "of", "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -153,18 +170,48 @@ def _start(rows: DataFrame) -> DataFrame:
     pick = lambda i, c: F.max(F.when(F.col("of") == i, c))
     spread = (F.col("high") - F.col("low")) / 1.349
     wide = stats.groupBy("group").agg(*[pick(i, F.col("mid")).alias(f"m{i}") for i in range(P)], *[pick(i, spread * spread).alias(f"c{i}_{i}") for i in range(P)], F.max("rows").alias("rows"))
-    return wide.withColumns({f"c{i}_{j}": F.lit(0.0) for i, j in _pairs() if i != j})
+    return wide.withColumns({f"c{i}_{j}": F.lit(0.0) for i, j in _pairs() if i != j} | {"start": F.lit(0)})
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """The starts of every group: 0 its medians, 1 all its rows, 2 and on the rows that a hash of the vector picks."""
+    among = F.greatest(F.floor(F.col("group_rows") / SUBSET), F.lit(1))
+    picked = [F.when(F.pmod(F.xxhash64(F.lit(k), *FEATURES), among) == 0, F.lit(k)) for k in range(2, 2 + RANDOM_STARTS)]
+    chosen = rows.select("group", *FEATURES, "group_rows", F.explode(F.array_compact(F.array(F.lit(1), *picked))).alias("start"))
+    moments = _moments(chosen.groupBy("group", "start").agg(F.max("group_rows").alias("rows"), F.count(F.lit(1)).alias("n"), *_sums()))
+    shape = ["group", "start", "rows", *[f"m{i}" for i in range(P)], *[f"c{i}_{j}" for i, j in _pairs()]]
+    return _quartiles(rows).select(*shape).unionByName(moments.select(*shape))
+
+
+def _least(passed: DataFrame, coverage: float, steps: int, few: bool, total: int, scratch: Scratch) -> DataFrame:
+    """Per group the factor of the least determinant found: two steps from every start, then the best one's until none falls."""
+    params = scratch.save(_with_factor(_starts(passed), 1.0), "params-0")
+    for step in range(1, 3):
+        params = scratch.save(_with_factor(_estimate(_with_distance(passed, params, few, total), share=coverage), consistency(coverage)), f"params-{step}")
+    names = params.columns
+    params = params.groupBy("group").agg(F.min_by(F.struct(*names), F.struct("det", "start")).alias("p")).select("p.*")
+    for step in range(3, steps + 1):
+        if step == 3:
+            params = scratch.save(params, "best-2")
+        new = _with_factor(_estimate(_with_distance(passed, params, few, total), share=coverage), consistency(coverage))
+        old = params.select("group", F.struct(*names).alias("old"))
+        fell = F.col("det") < F.col("old.det") - SETTLED
+        both = new.select("group", F.struct(*names).alias("new"), "det").join(old, "group").select(F.when(fell, F.col("new")).otherwise(F.col("old")).alias("p"), fell.alias("fell"))
+        params = scratch.save(both.select("p.*", "fell"), f"best-{step}")
+        moved = params.where("fell").limit(1).count()
+        params = params.drop("fell")
+        if not moved:
+            break
+    return params
 
 
 def _grouped(stored: DataFrame, min_rows: int, scratch: Scratch) -> tuple[DataFrame, int, bool]:
-    """Rows with ``group``, null where too few passed the base rules to judge by; the number of those that did; if groups are few."""
+    """Rows with ``group`` and ``group_rows``, its rows that passed the base rules; the number of all of those; if groups are few."""
     sizes = stored.where("not __base_failed").groupBy("lang", "both").agg(F.count(F.lit(1)).alias("rows"))
     small = F.sum(F.when(F.col("rows") < min_rows, F.col("rows"))).over(W.partitionBy("lang"))
     sizes = sizes.withColumn("group", F.when(F.col("rows") >= min_rows, F.col("both")).when(small >= min_rows, F.col("lang")).otherwise(F.lit("all")))
-    sizes = scratch.save(sizes.select("both", "group", "rows"), "groups")
-    count, total, rest = sizes.agg(F.count(F.lit(1)), F.sum("rows"), F.sum(F.when(F.col("group") == "all", F.col("rows")))).first()
-    if (rest or 0) < min_rows:
-        sizes = sizes.withColumn("group", F.when(F.col("group") != "all", F.col("group")))
+    sizes = scratch.save(sizes.select("both", "group", "rows", F.sum("rows").over(W.partitionBy("group")).alias("group_rows")), "groups")
+    count, total = sizes.agg(F.count(F.lit(1)), F.sum("rows")).first()
     few = count <= BROADCAST_GROUPS
     if few:
         return stored.join(F.broadcast(sizes.drop("rows")), "both", "left"), total or 0, few
@@ -174,23 +221,29 @@ def _grouped(stored: DataFrame, min_rows: int, scratch: Scratch) -> tuple[DataFr
 COUNTS = ["__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words"]
 
 
-def quality_rules(docs: DataFrame, carry: list[str] | None = None, coverage: float = 0.75, steps: int = 4, keep: float = 1 - 1e-9, min_rows: int = 200) -> DataFrame:
-    """The ``carry`` columns of ``docs`` (all by default), COUNTS, __base_failed, __distance and __kept."""
+def _judged(docs: DataFrame, carry: list[str], coverage: float, steps: int, keep: float, min_rows: int) -> DataFrame:
+    """__own (the ``carry`` columns as one), COUNTS, __base_failed, __distance and __kept."""
     scratch = Scratch(docs.sparkSession, "quality")
-    carry = docs.columns if carry is None else carry
     null = F.lit("null")
     lang, source = F.coalesce(F.concat(F.lit("="), F.col("lang")), null), F.coalesce(F.concat(F.lit("="), F.col("source")), null)
-    own = docs.select(F.struct(*carry).alias("__own"), F.col("text").alias("__text"), F.to_json(F.array(lang)).alias("lang"), F.to_json(F.array(lang, source)).alias("both"))
+    own = docs.select(F.struct(*map(col, carry)).alias("__own"), F.col("text").alias("__text"), F.to_json(F.array(lang)).alias("lang"), F.to_json(F.array(lang, source)).alias("both"))
     rows = with_counts(own, "__text").withColumn("__base_failed", base_failed())
     stored = scratch.save(rows.select("__own", "lang", "both", *COUNTS, "__base_failed", *[c.alias(n) for n, c in vector().items()]), "rows")
     judged, total, few = _grouped(stored, min_rows, scratch)
-    passed = scratch.save(judged.where("group is not null and not __base_failed").select("group", *FEATURES), "vectors")
-    params = scratch.save(_with_factor(_start(passed), 1.0), "params-0")
-    for step in range(1, steps + 1):
-        nearest = _estimate(_with_distance(passed, params, few, total), share=coverage)
-        params = scratch.save(_with_factor(nearest, consistency(coverage)), f"params-{step}")
+    passed = scratch.save(judged.where("not __base_failed").select("group", "group_rows", *FEATURES), "vectors")
+    params = _least(passed, coverage, steps, few, total, scratch)
     inner = _estimate(_with_distance(passed, params, few, total), within=math.sqrt(chi2_quantile(0.975, P)))
     params = scratch.save(_with_factor(inner, consistency(0.975)), "params")
     out = _with_distance(judged, params, few, total)
     kept = ~F.col("__base_failed") & F.coalesce(F.col("__d") * F.col("__d") <= chi2_quantile(keep, P), F.lit(True))
-    return out.select("__own.*", *COUNTS, "__base_failed", F.col("__d").alias("__distance"), kept.alias("__kept"))
+    return out.select("__own", *COUNTS, "__base_failed", F.col("__d").alias("__distance"), kept.alias("__kept"))
+
+
+def quality_rules(docs: DataFrame, carry: list[str] | None = None, coverage: float = 0.75, steps: int = 30, keep: float = 1 - 1e-9, min_rows: int = 5 * P) -> DataFrame:
+    """The ``carry`` columns of ``docs`` (all by default), COUNTS, __base_failed, __distance and __kept."""
+    return _judged(docs, docs.columns if carry is None else carry, coverage, steps, keep, min_rows).select("__own.*", *COUNTS, "__base_failed", "__distance", "__kept")
+
+
+def keep_good(docs: DataFrame, coverage: float = 0.75, steps: int = 30, keep: float = 1 - 1e-9, min_rows: int = 5 * P) -> DataFrame:
+    """The rows of ``docs`` that are kept, with its columns."""
+    return _judged(docs, docs.columns, coverage, steps, keep, min_rows).where("__kept").select("__own.*")
