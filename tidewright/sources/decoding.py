@@ -41,11 +41,11 @@ def json_stat(df: DataFrame, column: str) -> DataFrame:
     )
     dense = F.map_from_arrays(F.transform(F.sequence(F.lit(0), F.size("dense") - 1), lambda k: k.cast("string")), F.col("dense"))
     cells = F.when(F.size("dense") > 0, dense).otherwise(F.col("sparse"))
-    flat = read.select("own", "ids", "sizes", "dims", F.explode(cells).alias("k", "value")).where("value is not null").withColumn("k", F.col("k").cast("int"))
+    flat = read.select("own", "ids", "sizes", "dims", F.explode(cells).alias("flat_index", "value")).where("value is not null").withColumn("flat_index", F.col("flat_index").cast("int"))
     stride = lambda i: F.aggregate(F.slice("sizes", i + 2, F.size("sizes")), F.lit(1), lambda s, n: s * n)
-    place = lambda i: F.floor(F.col("k") / stride(i)).cast("int") % F.get("sizes", i)
+    place = lambda i: F.floor(F.col("flat_index") / stride(i)).cast("int") % F.get("sizes", i)
     label = lambda d, i: F.element_at(F.map_keys(F.map_filter(F.col("dims")[d]["category"]["index"], lambda _, v: v == place(i))), 1)
-    return flat.select("own.*", F.map_from_arrays("ids", F.transform("ids", label)).alias("at"), "value").drop("none")
+    return flat.select("own", F.map_from_arrays("ids", F.transform("ids", label)).alias("at"), "value").select("own.*", "at", "value").drop("none")
 
 
 def position(text: Column) -> tuple[Column, Column]:
