@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -103,13 +104,41 @@ def test_packing_odd_rows(spark):
     assert P.pack(spark.createDataFrame([], DOCS)).collect() == []
 
 
-def test_encoder_is_the_tokenizer_on_whole_texts():
+def check_encoder(coder, tokenizer, texts):
+    ids, bounds = coder.encode(pa.array(texts, pa.string()), 7)
+    assert len(bounds) == len(texts) + 1 and len(ids) == bounds[-1]
+    for i, text in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 7], text
+
+
+@pytest.mark.parametrize("by_words", [True, False])
+def test_encoder_is_the_tokenizer_on_whole_texts(by_words):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.default_tokenizer())
-    small = P.WordEncoder(P.default_tokenizer(), max_words=5)
-    for text in ["It's  a test x", "é ́a don't", "a\x1cb c\x85d", "<|endoftext|> <|startoftext|>x", "12 3.4 ¿qué?\tñ\n", "日本語 テスト 😀👍🏽", "​ x﻿", "'sing 'S s's it's' ''s (don't) <|x|> a_b _a_ x<|endoftext|>y", "Éa, ÉA! Ǆ ŉ İi ſ ß, Ⅷ a² ªb ʰc", "e\u0301. \u0301a, K", "a. A, a! b. (b) [b] \"b\" `b` ^b~"]:
-        assert np.frombuffer(small.encode([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+    t, coder = Tokenizer.from_file(P.default_tokenizer()), P.WordEncoder(P.default_tokenizer(), by_words, max_odd=5)
+    check_encoder(coder, t, [])
+    check_encoder(coder, t, [None, "", " \n", "It's  a test x", "\u00e9 \u0301a don't", "a\x1cb c\x85d", "<|endoftext|> <|startoftext|>x", "12 3.4 \u00bfqu\u00e9?\t\u00f1\n"])
+    check_encoder(coder, t, ["日本語 テスト 😀👍🏽", "\u200b x\ufeff", "'sing 'S s's it's' ''s (don't) <|x|> a_b _a_ x<|endoftext|>y", "Éa, ÉA! Ǆ ŉ İi ſ ß, Ⅷ a² ªb ʰc", "e\u0301. \u0301a, K", "a. A, a! b. (b) [b] \"b\" `b` ^b~"])
+    check_encoder(coder, t, ["PERİ.", "İ! aİ, İa", "ΟΔΟΣ Σας.", "a" * 3000 + "é" * 3000])
+    # Every letter that may go to the second engine, at each place of a word.
+    letters = [chr(c) for c in [*range(0x41, 0x7B), *range(0xC0, 0x250), *range(0x400, 0x500)]]
+    check_encoder(coder, t, [f"{a}{c}{b}" for c in letters for a, b in (("", ""), ("a", ""), ("", "a"), ("x", "y"), (".", "!"))])
+    rng = np.random.default_rng(5)
+    alphabet = list("abcXYZ'é.ÉßİıŉǄǅΣσςДд!?<|>#  \n\t日本12½ªſKﬁ-_`^&\x1c\x85") + ["\u0301", "\u200b"]
+    check_encoder(coder, t, ["".join(rng.choice(alphabet, rng.integers(0, 30))) for _ in range(20_000)])
+
+
+def test_only_a_known_tokenizer_is_read_by_words():
+    import public_tokenizers
+
+    assert P.by_words(P.default_tokenizer())
+    assert not P.by_words(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_slices_hold_every_row():
+    texts = pa.array(["a" * n if n else None for n in (5, 0, 100, 3, 3, 3, 0)])
+    assert list(P.byte_slices(texts, 10)) == [(0, 2), (2, 1), (3, 4)]
+    assert list(P.byte_slices(texts.slice(0, 0), 10)) == []
 
 
 @pytest.mark.parametrize("by", ["norm", "dot"])
@@ -124,6 +153,33 @@ def test_every_capacity_holds(by):
         assert sum(n for _, n in x) <= 100 and len(x) <= 4 and (len(x) == 1 or sum(n * n for _, n in x) <= 5000)
 
 
+def test_what_fits_no_bin_is_an_error():
+    for limits in ((100, 4, 2499), (49, 4, 10_000), (100, 0, 10_000)):
+        with pytest.raises(ValueError, match="fits no bin"):
+            P.best_fit([50, 3], *limits)
+
+
+def test_ties_go_to_the_bin_opened_first():
+    bins, places = P.best_fit([60, 60, 60, 40, 40, 40], 100, 9, 10_000)
+    assert bins[:3] == [0, 1, 2] and sorted(bins[3:]) == [0, 1, 2] and places == [0, 0, 0, 60, 60, 60]
+
+
+def test_limits_that_bind(spark):
+    docs = spark.createDataFrame([(i, "word " * (1 + i % 40)) for i in range(400)], "doc_id long, text string")
+    for limits, per_bin, cost in (({"max_docs": 3}, 3, 10**9), ({"max_attention": 2000}, 10**9, 2000), ({"max_docs": 5, "max_attention": 3000, "by": "dot"}, 5, 3000)):
+        of = defaultdict(list)
+        for r in P.pack(docs, capacity=100, **limits).collect():
+            of[r.sequence_id].append(r.length)
+        assert sum(map(len, of.values())) == 400
+        assert all(sum(v) <= 100 and len(v) <= per_bin and sum(n * n for n in v) <= cost for v in of.values())
+
+
+def test_ids_come_back_whole(spark):
+    docs = spark.createDataFrame(ODD, DOCS)
+    rows = P.pack(docs, capacity=64, ids=True).collect()
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in rows)
+
+
 def test_best_fit_takes_the_least_norm():
     rng = np.random.default_rng(2)
     lengths = sorted(rng.integers(1, 60, 200).tolist(), reverse=True)
@@ -152,6 +208,53 @@ def test_toxicity_folds_and_excepts():
     assert lex.strength("idiot " + "calm " * 500, auto) < lex.strength("idiot calm", auto)
 
 
+def plain_strength(lex, text):
+    """Every place against every term and phrase, one by one."""
+    f = T.folded(text)
+
+    def stands(form, whole, i):
+        j = i + len(form)
+        return f.startswith(form, i) and not (i and f[i - 1].isalpha()) and not (whole and j < len(f) and f[j].isalpha())
+
+    safe = [(i, i + len(p)) for p in lex.exceptions for i in range(len(f)) if stands(p, True, i)]
+    total = 0.0
+    for i in range(len(f)):
+        weights = [w for term, w in lex.terms.items() for form in {term.rstrip("$"), term.rstrip("$").replace("l", "i")} if stands(form, term.endswith("$"), i) and not any(a <= i and i + len(form) <= b for a, b in safe)]
+        total += max(weights, default=0.0)
+    return total / (1 + np.log1p(len(text.split())))
+
+
+def test_toxicity_matches_as_brute_force_does():
+    rng = np.random.default_rng(8)
+    letters = list("ab1lo0 .é")
+    for _ in range(150):
+        terms = {"".join(rng.choice(list("ablo"), rng.integers(1, 5))) + ("$" if rng.random() < 0.5 else ""): float(rng.integers(1, 9)) for _ in range(rng.integers(0, 8))}
+        phrases = tuple("".join(rng.choice(list("abo"), 2)) + " " + "".join(rng.choice(list("abo"), 2)) for _ in range(rng.integers(0, 6)))
+        lex = T.Lexicon(terms, phrases)
+        automaton = lex.automaton()
+        for _ in range(20):
+            text = "".join(rng.choice(letters, rng.integers(0, 60)))
+            assert lex.strength(text, automaton) == pytest.approx(plain_strength(lex, text)), (terms, phrases, text)
+
+
+def test_toxicity_learns_exceptions_and_scores_ties_alike(spark):
+    rows = [(i, f"you utter {'calm' if i % 3 else 'grobnik'} person number{'x' * (i % 7)}", int(i % 3 == 0)) for i in range(600)]
+    rows += [(1000 + i, f"the grobnik river flows by village{'y' * (i % 5)}", 0) for i in range(30)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lex = T.learn(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert any(p in lex.exceptions for p in ("the grobnik", "grobnik river"))
+    score = lambda x: lex.score(lex.strength(x, lex.automaton()))
+    assert score("you utter grobnik") > 0.5 > score("down at the grobnik river")
+    again = spark.createDataFrame([(1, "you utter grobnik")] * 3 + [(2, "you utter grobnik")], "doc_id long, text string")
+    assert len({r[2] for r in T.score_toxicity(again, lex).collect()}) == 1
+
+
+def test_toxicity_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "you idiot idiot", 1, 2, 3), (2, "calm", 1, 2, 3)], "doc_id long, text string, __SCORE int, read int, `a.b` int")
+    out = T.drop_toxic(df, T.Lexicon())
+    assert out.columns == df.columns and [r[0] for r in out.collect()] == [2]
+
+
 def test_toxicity_held_out(spark):
     labels = {r["doc_id"]: r["toxic"] for r in pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pylist()}
     rows = QUERIES["op8_toxicity"](spark, "/root/testdata/sf0.1").collect()
