@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from tidewright.operators.vessels import seconds
 
 
-def cross_correlation(a: DataFrame, b: DataFrame, most: int = 12) -> DataFrame:
+def cross_correlation(a: DataFrame, b: DataFrame, most: int = 90) -> DataFrame:
     """Of two series (period, avg_value) by the distance in rows: products of z values a lag apart, over n."""
 
     def z(s: DataFrame, name: str) -> DataFrame:
@@ -21,13 +21,6 @@ def cross_correlation(a: DataFrame, b: DataFrame, most: int = 12) -> DataFrame:
     return x.join(z(b, "zb"), "rn_zb").groupBy("lag").agg((F.sum(F.col("za") * F.col("zb")) / F.max(F.least("n_za", "n_zb"))).alias("r"))
 
 
-def voyages(stays: DataFrame) -> DataFrame:
-    """From the end of each stay to the start of the vessel's next one; the last is still under way."""
-    order = W.partitionBy("mmsi").orderBy("start_ts")
-    v = stays.select("mmsi", F.col("end_ts").alias("depart"), F.lead("start_ts").over(order).alias("arrive"))
-    return v.select("mmsi", "depart", "arrive", ((seconds("arrive") - seconds("depart")) / 3600).alias("hours"), F.when(F.col("arrive").isNull(), "in_progress").otherwise("completed").alias("status"))
-
-
 def voyage_summary(v: DataFrame) -> DataFrame:
     return v.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("hours").alias("hours"), F.countDistinct("mmsi").alias("vessels"))
 
@@ -43,11 +36,6 @@ def flag_factor(flags: DataFrame, scores: dict[str, float]) -> DataFrame:
     return flags.select("mmsi", F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("flag")), F.lit(0.5)).alias("flag"))
 
 
-def identity_factor(flags: DataFrame) -> DataFrame:
-    digits = F.length(F.col("mmsi").cast("string"))
-    return flags.select("mmsi", (F.when(digits != 9, 0.2).otherwise(0.0) + F.when(F.col("flag").isNull(), 0.15).otherwise(0.0)).alias("identity"))
-
-
 def template_counts(followed: DataFrame, templates: DataFrame) -> DataFrame:
     """How often each (type_a, type_b, max_s) is seen among pairs of events that follow each other."""
     p = followed.select(F.col("a.event_type").alias("type_a"), F.col("b.event_type").alias("type_b"), "lag_s")
@@ -65,12 +53,6 @@ def pruned(nodes: DataFrame, children: DataFrame, least: float) -> DataFrame:
     return children.join(nodes.where(F.col("score") >= least).select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
 
 
-def value_mapper(records: DataFrame, path: str, code: Column) -> DataFrame:
-    """Records to a time series: the value at a JSON path, rows without one dropped."""
-    value = F.get_json_object("props", path).try_cast("double") if hasattr(Column, "try_cast") else F.expr(f"try_cast(get_json_object(props, '{path}') as double)")
-    return records.select("id", code.alias("code"), "ts", value.alias("value")).where("value is not null")
-
-
 def compatible_types(parents: dict[str, str]) -> list[tuple[str, str]]:
     """Pairs of types that are equal, one above the other, or share an ancestor that is no root."""
 

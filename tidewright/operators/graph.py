@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewright.common import Scratch
+from tidewright.operators.components import connected_components
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -40,15 +41,30 @@ def neighbourhood(edges: DataFrame, start: str, depth: int = 2) -> DataFrame:
     return seen
 
 
-def simple_paths(edges: DataFrame, start: str, goal: str, depth: int = 4, limit: int = 50) -> DataFrame:
-    """Directed paths without repeated nodes, shortest first."""
+def simple_paths(edges: DataFrame, start: str, goal: str, depth: int = 5, limit: int = 50) -> DataFrame:
+    """Directed paths without repeated nodes, shortest first, of at most ``depth`` (up to 10) steps. Longer ones are not
+    walked once ``limit`` shorter ones are found, and nodes from which the goal is out of reach are not entered."""
+    if not 1 <= depth <= 10:
+        raise ValueError("depth must be from 1 to 10")
+    scratch = Scratch(edges.sparkSession, "paths")
     e = edges.select(F.col("source_id").alias("a"), F.col("dest_id").alias("b")).distinct()
-    paths, found = e.where(F.col("a") == start).select(F.array("a", "b").alias("path")), None
+    e = scratch.save(e, "edges")
+    # Steps that are left to the goal, found from its end: a node is worth entering only if they fit.
+    left = edges.sparkSession.createDataFrame([(goal, 0)], "b string, left int")
+    for d in range(1, depth):
+        front = left.where(F.col("left") == d - 1).select("b")
+        fresh = e.join(front, "b").select(F.col("a").alias("b")).distinct().join(left.select("b"), "b", "left_anti").withColumn("left", F.lit(d))
+        left = scratch.save(left.unionByName(fresh), f"left-{d}")
+    e = e.join(left, "b")
+    paths, found, many = e.where((F.col("a") == start) & (F.col("left") <= depth - 1)).select(F.array("a", "b").alias("path")), None, 0
     for d in range(1, depth + 1):
+        paths = scratch.save(paths, f"paths-{d}")
         hit = paths.where(F.element_at("path", -1) == goal).select("path", F.lit(d).alias("depth"))
-        found = hit if found is None else found.unionByName(hit)
+        found, many = hit if found is None else found.unionByName(hit), many + hit.count()
+        if many >= limit:
+            break
         on = paths.where(F.element_at("path", -1) != goal).withColumn("a", F.element_at("path", -1))
-        paths = on.join(e, "a").where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path"))
+        paths = on.join(e.where(F.col("left") <= depth - d - 1), "a").where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path"))
     return found.orderBy("depth", "path").limit(limit).select("depth", F.array_join("path", ">").alias("path"))
 
 
@@ -61,7 +77,7 @@ def bridges(edges: DataFrame, kind_a: str, kind_b: str) -> DataFrame:
     return out.union(edges.join(n.withColumnRenamed("n", "dest_id"), "dest_id", "left_semi").select(cols)).distinct()
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """Of the undirected graph, weighted by the number of edges between two nodes."""
     scratch = Scratch(edges.sparkSession, "pagerank")
     e = edges.select(F.col("source_id").alias("a"), F.col("dest_id").alias("b")).where("a <> b")
@@ -92,9 +108,14 @@ def constraint(edges: DataFrame) -> DataFrame:
 
 
 def graph_summary(edges: DataFrame) -> DataFrame:
-    e = both_ways(edges)
+    """Nodes, edges (each pair once), density and the number of connected parts."""
+    scratch = Scratch(edges.sparkSession, "summary")
+    e = scratch.save(both_ways(edges), "edges")
+    roots = connected_components(e.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+    # A part's root has no row of its own there.
+    parts = roots.agg(F.countDistinct("root").alias("components"))
     g = e.agg(F.countDistinct("a").alias("nodes"), (F.count(F.lit(1)) / 2).cast("long").alias("edges"))
-    return g.withColumn("density", 2 * F.col("edges") / F.nullif(F.col("nodes") * (F.col("nodes") - 1), F.lit(0)))
+    return g.withColumn("density", 2 * F.col("edges") / F.nullif(F.col("nodes") * (F.col("nodes") - 1), F.lit(0))).crossJoin(parts)
 
 
 def top_nodes(edges: DataFrame, n: int) -> DataFrame:
@@ -127,12 +148,14 @@ def cosine(a, b):
     return _dot(a, b) / F.nullif(F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)), F.lit(0.0))
 
 
-def similar_to(vectors: DataFrame, item: int, k: int = 10, other_label: bool = False) -> DataFrame:
-    """The ``k`` nearest by cosine to one row, itself left out."""
+def similar_to(vectors: DataFrame, item: int, k: int = 10, other_label: bool = False, least: float | None = None) -> DataFrame:
+    """The ``k`` nearest by cosine to one row, itself left out, and those below ``least``."""
     one = F.broadcast(vectors.where(F.col("vec_id") == item).select(F.col("embedding").alias("q"), F.col("label").alias("q_label")).limit(1))
     v = vectors.where(F.col("vec_id") != item).crossJoin(one)
     v = v.where("label <> q_label") if other_label else v
-    return v.select("vec_id", "label", cosine(F.col("embedding"), F.col("q")).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(k)
+    v = v.select("vec_id", "label", cosine(F.col("embedding"), F.col("q")).alias("similarity"))
+    v = v if least is None else v.where(F.col("similarity") >= least)
+    return v.orderBy(F.desc("similarity"), "vec_id").limit(k)
 
 
 def index_statistics(vectors: DataFrame) -> DataFrame:

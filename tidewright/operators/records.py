@@ -23,15 +23,6 @@ def without_null_island(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~origin, F.col(c)) for c in ("lat", "lon")})
 
 
-def fuzzy_names(e: DataFrame, threshold: float = 0.85, prefix: int = 4) -> DataFrame:
-    """Pairs of one type with like names, among those that share the name's end; similarity is by edit distance."""
-    key = F.lower(F.regexp_replace("name", r"[\s#]+", " "))
-    e = e.select("id", "entity_type", key.alias("key"), F.reverse(key).substr(1, prefix).alias("block"))
-    a, b = (e.select("entity_type", "block", F.col("id").alias(f"id_{x}"), F.col("key").alias(f"key_{x}")) for x in "ab")
-    sim = 1 - F.levenshtein("key_a", "key_b") / F.greatest(F.length("key_a"), F.length("key_b"))
-    return a.join(b, ["entity_type", "block"]).where("id_a < id_b").select("id_a", "id_b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
-
-
 def merged_ids(edges: DataFrame, same: DataFrame) -> DataFrame:
     """Edges with merged ids (``same``: drop_id → keep_id) put in place of those dropped."""
     for c in ("source_id", "dest_id"):
@@ -55,11 +46,6 @@ def unpivoted(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
     return df.unpivot(ids, metrics, "code", "value").where("value is not null")
 
 
-def routed(records: DataFrame, registered: list[str]) -> DataFrame:
-    """Records by whether a mapper is registered for their source."""
-    return records.withColumn("route", F.when(F.col("source_name").isin(registered), F.lit("mapped")).otherwise("generic"))
-
-
 def html_stripped(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), r"[\x20\x09-\x0D]+", " "))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tidewright.functions.geo import NM, haversine
+from tidewright.functions.geo import NM, haversine, in_ring
 
 #: Weights of the six risk factors.
 WEIGHTS = {"flag": 0.15, "gap": 0.20, "behaviour": 0.20, "encounter": 0.15, "geofence": 0.15, "identity": 0.15}
@@ -21,15 +21,18 @@ def seconds(c: str | Column) -> Column:
 
 
 def windows(tracks: DataFrame, minutes: int = 30, step: int = 15, least: int = 3) -> DataFrame:
-    """Each fix in every window it is in: windows of one vessel start at its first fix, and hold both their ends."""
+    """Each fix in every window it is in: windows of one vessel start at its first fix, and hold both their ends. Windows of
+    fewer than ``least`` fixes go, but a track that has no more than that is one window."""
     first = F.min("ts").over(W.partitionBy("mmsi"))
     last = F.max("ts").over(W.partitionBy("mmsi"))
     off = (seconds("ts") - seconds(first)) / 60.0
     t = tracks.withColumns({"first_ts": first, "off": off, "span": (seconds(last) - seconds(first)) / 60.0})
-    low = F.greatest(F.ceil((F.col("off") - minutes) / step), F.lit(0))
-    t = t.withColumn("w", F.explode(F.sequence(low, F.floor(F.col("off") / step))))
+    t = t.withColumn("short", F.count(F.lit(1)).over(W.partitionBy("mmsi")) < least)
+    low, high = F.greatest(F.ceil((F.col("off") - minutes) / step), F.lit(0)), F.floor(F.col("off") / step)
+    zero = F.lit(0).cast("long")
+    t = t.withColumn("w", F.explode(F.sequence(F.when(F.col("short"), zero).otherwise(low), F.when(F.col("short"), zero).otherwise(high))))
     n = F.count(F.lit(1)).over(W.partitionBy("mmsi", "w"))
-    return t.withColumn("n", n).where(F.col("n") >= least).drop("n", "off", "span")
+    return t.withColumn("n", n).where((F.col("n") >= least) | F.col("short")).drop("n", "off", "span", "short")
 
 
 def features(w: DataFrame) -> DataFrame:
@@ -50,23 +53,37 @@ def features(w: DataFrame) -> DataFrame:
 
 
 def classified(f: DataFrame) -> DataFrame:
-    """An ordered decision on speed, course variance, sinuosity and turning."""
-    s, v = F.col("mean_sog"), F.col("course_variance")
+    """An ordered decision on speed, course variance, sinuosity and turning, and how sure it is.
+
+    Fishing needs a score of 0.65 of its three signs (0.35, 0.35, 0.30): in floating point, the first with the third stay below.
+    """
+    s, v, turn = F.col("mean_sog"), F.col("course_variance"), F.col("turn_rate")
     steady = s.between(1.5, 5) & (v >= 0.25)
-    # Speed with sinuosity alone stays below the score that fishing needs.
-    kind = (
-        F.when(F.col("points") < 2, "unknown").when(s < 0.5, "anchored").when(steady, "fishing").when((s < 2) & (v >= 0.4), "loitering")
-        .when(F.col("turn_rate") >= 3, "maneuvering").when((s >= 4) & (v <= 0.15), "transiting").when((s < 3) & (v <= 0.15), "drifting").otherwise("unknown")
-    )
-    return f.withColumn("behaviour", kind)
+    cases = [
+        (F.col("points") < 2, "unknown", F.lit(0.0)),
+        (s < 0.5, "anchored", F.least(F.lit(1.0), (1 - s / 0.5) * 0.5 + 0.5)),
+        (steady, "fishing", F.when(F.col("sinuosity") >= 1.5, 1.0).otherwise(0.7)),
+        ((s < 2) & (v >= 0.4), "loitering", F.least(F.lit(1.0), 0.5 + v * 0.5)),
+        (turn >= 3, "maneuvering", F.least(F.lit(1.0), turn / 6)),
+        ((s >= 4) & (v <= 0.15), "transiting", F.least(F.lit(1.0), 0.5 + (1 - v) * 0.3 + F.least(s / 15, F.lit(0.2)))),
+        ((s < 3) & (v <= 0.15), "drifting", F.lit(0.5)),
+    ]
+    kind, sure = F.lit("unknown"), F.lit(0.2)
+    for when, name, confidence in reversed(cases):
+        kind, sure = F.when(when, name).otherwise(kind), F.when(when, confidence).otherwise(sure)
+    return f.withColumns({"behaviour": kind, "confidence": sure})
 
 
 def merged(c: DataFrame) -> DataFrame:
-    """Runs of windows of one behaviour as one segment; points and distance of overlapping windows add up."""
+    """Runs of windows of one behaviour as one segment; points and distance of overlapping windows add up. Confidence is
+    the mean of that so far and the next window's, window by window: weights that halve, as sums."""
     order = W.partitionBy("mmsi").orderBy("w")
     c = c.withColumn("new", (~F.col("behaviour").eqNullSafe(F.lag("behaviour").over(order))).cast("int"))
     c = c.withColumn("segment", F.sum("new").over(order))
-    return c.groupBy("mmsi", "segment", "behaviour").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.sum("points").alias("points"), F.sum("path_nm").alias("path_nm"), F.min("south").alias("south"), F.max("north").alias("north"))
+    run = W.partitionBy("mmsi", "segment")
+    after = F.count(F.lit(1)).over(run) - F.row_number().over(run.orderBy("w"))
+    c = c.withColumn("weight", F.pow(F.lit(0.5), F.when(F.col("new") == 1, after).otherwise(after + 1)))
+    return c.groupBy("mmsi", "segment", "behaviour").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.sum("points").alias("points"), F.sum("path_nm").alias("path_nm"), F.min("south").alias("south"), F.max("north").alias("north"), F.sum(F.col("weight") * F.col("confidence")).alias("confidence"))
 
 
 def behaviour_summary(segments: DataFrame) -> DataFrame:
@@ -94,15 +111,67 @@ def encounters(nearest: DataFrame, nm: float = 10.0, least_minutes: float = 10.0
     p = a.join(met, "a_mmsi").join(b, ["mark", "b_mmsi"]).withColumn("nm", dist)
     order = W.partitionBy("a_mmsi", "b_mmsi").orderBy("mark")
     p = p.withColumn("island", F.sum((F.col("nm") > nm).cast("int")).over(order)).where(F.col("nm") <= nm)
+    apart = F.abs(F.pmod(F.col("a_cog") - F.col("b_cog") + 180, F.lit(360.0)) - 180)
     g = p.groupBy(F.col("a_mmsi").alias("mmsi_a"), F.col("b_mmsi").alias("mmsi_b"), "island").agg(
-        F.min("mark").alias("first_mark"), F.max("mark").alias("last_mark"), F.count(F.lit(1)).alias("marks"), F.min("nm").alias("min_nm"), F.avg("nm").alias("avg_nm"), F.avg("a_sog").alias("sog_a"), F.avg("b_sog").alias("sog_b")
-    )
+        F.min("mark").alias("first_mark"), F.max("mark").alias("last_mark"), F.count(F.lit(1)).alias("marks"), F.min("nm").alias("min_nm"), F.avg("nm").alias("avg_nm"),
+        F.avg("a_sog").alias("sog_a"), F.avg("b_sog").alias("sog_b"), F.avg(apart).alias("cog_apart"), ((F.max(seconds("a_ts")) - F.min(seconds("a_ts"))) / 60).alias("seen_minutes"),
+        F.avg("a_lat").alias("lat"), F.avg("a_lon").alias("lon"),
+    )
     minutes = (F.col("last_mark") - F.col("first_mark")) * bucket_minutes
-    kind = F.when((F.col("sog_a") < 3) & (F.col("sog_b") < 3), "rendezvous").when(minutes < 30, "crossing").otherwise("unknown")
-    return g.withColumns({"minutes": minutes, "kind": kind}).where(F.col("minutes") >= least_minutes).drop("island")
-
-
-def port_stays(tracks: DataFrame, knots: float = 0.5, minutes: float = 10.0, drift_nm: float = 20.0) -> DataFrame:
+    return meeting_kind(g.withColumn("minutes", minutes).where(F.col("minutes") >= least_minutes).drop("island"))
+
+
+def meeting_kind(g: DataFrame) -> DataFrame:
+    """Kind, risk and confidence of meetings from speeds, courses, distance and how long the first vessel was seen."""
+    a, b, close, long = F.col("sog_a"), F.col("sog_b"), F.col("min_nm"), F.col("seen_minutes")
+    slow = (a < 3) & (b < 3)
+    fast = F.greatest(a, b)
+    parallel = (F.col("cog_apart") < 20) & (F.when(fast > 0.5, F.least(a, b) / fast).otherwise(0.0) > 0.7)
+    kind = F.when(slow, "rendezvous").when(parallel, "parallel_transit").when(long < 30, "crossing").when((a < 2) & (b < 2), "loitering_pair").otherwise("unknown")
+    sure = F.least(F.lit(1.0), 0.7 + F.when(close < 0.1, 0.15).otherwise(0.0) + F.when(F.col("marks") > 5, 0.1).otherwise(0.0))
+    confidence = F.when(slow, sure).when(parallel, 0.6).when(long < 30, 0.4).when((a < 2) & (b < 2), 0.5).otherwise(0.3)
+    met = F.when(long > 60, "critical").when((long > 30) | (close < 0.1), "high").otherwise("medium")
+    risk = F.when(slow, met).when(parallel, F.when(close < 0.2, "medium").otherwise("low")).when(long < 30, "low").when((a < 2) & (b < 2), "medium").otherwise("low")
+    return g.withColumns({"kind": kind, "risk": risk, "confidence": confidence})
+
+
+def in_area(tracks: DataFrame, west: float, south: float, east: float, north: float, start: str | None = None, end: str | None = None) -> DataFrame:
+    t = tracks.where(F.col("lon").between(west, east) & F.col("lat").between(south, north))
+    t = t if start is None else t.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+    return t if end is None else t.where(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
+
+
+def around_vessel(tracks: DataFrame, mmsi: int, nm: float = 10.0) -> DataFrame:
+    """The vessel's fixes, and those of others in the box of its track and in its time, widened by ``nm`` (60 to a degree)."""
+    own = tracks.where(F.col("mmsi") == mmsi)
+    box = own.agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    r = nm / 60.0
+    near = tracks.crossJoin(F.broadcast(box)).where((F.col("mmsi") == mmsi) | (F.col("lat").between(F.col("s") - r, F.col("n") + r) & F.col("lon").between(F.col("w") - r, F.col("e") + r) & F.col("ts").between(F.col("t0"), F.col("t1"))))
+    return near.select(tracks.columns)
+
+
+def legs(tracks: DataFrame, stays: DataFrame) -> DataFrame:
+    """Voyages: between two stays completed, after the last one (five fixes and over a mile) or of a vessel without stays
+    (two fixes) in progress. With distance, speed, and stops: runs below a knot of 15 to under 60 minutes."""
+    fixes = tracks.select("mmsi", "ts", "id", "lat", "lon", "sog", F.lit(1).alias("order"), F.lit(0).alias("ends"), F.lit(None).cast("int").alias("open"))
+    null = lambda kind: F.lit(None).cast(kind)
+    mark = lambda c, order, ends, open_: stays.select("mmsi", F.col(c).alias("ts"), null("long").alias("id"), null("double").alias("lat"), null("double").alias("lon"), null("double").alias("sog"), F.lit(order).alias("order"), F.lit(ends).alias("ends"), F.lit(open_).alias("open"))
+    # The fix that ends a stay begins the voyage, and the one that begins the next stay ends it.
+    both = fixes.unionByName(mark("end_ts", 0, 1, 1)).unionByName(mark("start_ts", 2, 0, 0))
+    flow = W.partitionBy("mmsi").orderBy("ts", "order", "id")
+    so_far = both.withColumns({"leg": F.sum("ends").over(flow), "under_way": F.coalesce(F.last("open", ignorenulls=True).over(flow), F.lit(1)), "stays": F.sum("ends").over(W.partitionBy("mmsi"))})
+    sea = so_far.where("id is not null and under_way = 1 and (leg > 0 or stays = 0)")
+    leg = W.partitionBy("mmsi", "leg").orderBy("ts", "id")
+    sea = sea.withColumns({"nm": haversine(F.lag("lat").over(leg), F.lag("lon").over(leg), "lat", "lon", NM), "run": F.sum((F.col("sog") >= 1).cast("int")).over(leg), "slow": F.col("sog") < 1})
+    runs = sea.where("slow").groupBy("mmsi", "leg", "run").agg(((seconds(F.max("ts")) - seconds(F.min("ts"))) / 60).alias("m")).where("m >= 15 and m < 60").groupBy("mmsi", "leg").agg(F.count(F.lit(1)).alias("stops"))
+    g = sea.groupBy("mmsi", "leg").agg(F.min("ts").alias("depart"), F.max("ts").alias("arrive"), F.count(F.lit(1)).alias("points"), F.coalesce(F.sum("nm"), F.lit(0.0)).alias("distance_nm"), F.max("sog").alias("max_sog"), F.max("stays").alias("stays"))
+    g = g.join(runs, ["mmsi", "leg"], "left").withColumn("hours", (seconds("arrive") - seconds("depart")) / 3600)
+    done = F.col("leg") < F.col("stays")
+    kept = done | ((F.col("stays") == 0) & (F.col("points") >= 2)) | ((F.col("stays") > 0) & (F.col("points") >= 5) & (F.col("distance_nm") > 1))
+    return g.where(kept).select("mmsi", "leg", "depart", "arrive", "points", "distance_nm", "hours", (F.col("distance_nm") / F.nullif("hours", F.lit(0.0))).alias("avg_knots"), "max_sog", F.coalesce("stops", F.lit(0)).alias("stops"), F.when(done, "completed").otherwise("in_progress").alias("status"))
+
+
+def port_stays(tracks: DataFrame, knots: float = 0.5, minutes: float = 60.0, drift_nm: float = 0.5) -> DataFrame:
     """Runs of slow fixes that last and stay near their centre; a run that ends the track is not held to the centre."""
     order = W.partitionBy("mmsi").orderBy("ts", "id")
     t = tracks.withColumns({"slow": (F.col("sog") <= knots).cast("int"), "rn": F.row_number().over(order), "last_id": F.last("id").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
@@ -155,25 +224,66 @@ def gap_factor(tracks: DataFrame) -> DataFrame:
     return g.select("mmsi", "longest", F.col("n").alias("gaps"), F.least(F.lit(1.0), base + F.when(F.col("n") >= 3, 0.1).otherwise(0.0)).alias("gap"))
 
 
-def behaviour_factor(summary: DataFrame) -> DataFrame:
+def behaviour_factor(summary: DataFrame, segments: DataFrame) -> DataFrame:
+    """From shares of time by behaviour, and from how many segments are unsure."""
     share = lambda b: F.coalesce(F.max(F.when(F.col("behaviour") == b, F.col("pct"))), F.lit(0.0)) / 100
     s = summary.groupBy("mmsi").agg(*[share(b).alias(b) for b in ("fishing", "loitering", "maneuvering", "drifting")])
+    unsure = segments.groupBy("mmsi").agg(F.avg((F.col("confidence") < 0.4).cast("double")).alias("unsure"))
     part = lambda b, over, score: F.when(F.col(b) > over, score).otherwise(0.0)
-    return s.select("mmsi", F.least(F.lit(1.0), part("fishing", 0.3, 0.3) + part("loitering", 0.2, 0.2) + part("maneuvering", 0.3, 0.15) + part("drifting", 0.4, 0.1)).alias("behaviour"))
+    total = part("fishing", 0.3, 0.3) + part("loitering", 0.2, 0.2) + part("maneuvering", 0.3, 0.15) + part("drifting", 0.4, 0.1) + part("unsure", 0.3, 0.1)
+    return s.join(unsure, "mmsi", "left").select("mmsi", F.least(F.lit(1.0), total).alias("behaviour"))
 
 
 def encounter_factor(e: DataFrame) -> DataFrame:
-    both = e.select(F.explode(F.array("mmsi_a", "mmsi_b")).alias("mmsi"), "kind")
-    g = both.groupBy("mmsi").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "rendezvous").alias("r"))
-    return g.select("mmsi", F.least(F.lit(1.0), F.when(F.col("r") >= 3, 0.5).when(F.col("r") >= 1, 0.25).otherwise(0.0) + F.when(F.col("n") >= 5, 0.1).otherwise(0.0)).alias("encounter"))
-
-
-def composite_risk(vessels: DataFrame, factors: list[DataFrame]) -> DataFrame:
-    """The weighted mean of the factors that are there, of 100, and its level; one plan for the whole fleet."""
-    names = [f.columns[-1] for f in factors]
-    for f in factors:
-        vessels = vessels.join(f.select("mmsi", f.columns[-1]), "mmsi", "left")
-    total = sum(F.coalesce(F.col(n), F.lit(0.0)) * WEIGHTS[n] for n in names) / sum(WEIGHTS[n] for n in names) * 100
+    """From meetings at sea, those of high or critical risk, and how many there are."""
+    both = e.select(F.explode(F.array("mmsi_a", "mmsi_b")).alias("mmsi"), "kind", "risk")
+    g = both.groupBy("mmsi").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "rendezvous").alias("r"), F.count_if(F.col("risk").isin("high", "critical")).alias("h"))
+    steps = lambda c, *of: F.coalesce(*[F.when(F.col(c) >= least, score) for least, score in of], F.lit(0.0))
+    return g.select("mmsi", F.least(F.lit(1.0), steps("r", (3, 0.5), (1, 0.25)) + steps("h", (2, 0.3), (1, 0.15)) + steps("n", (5, 0.1))).alias("encounter"))
+
+
+#: What an alert's severity adds.
+SEVERITY = {"info": 0.05, "warning": 0.1, "alert": 0.2, "critical": 0.4}
+
+
+def geofence_factor(alerts: DataFrame, newest: int = 50) -> DataFrame:
+    """The severities of a vessel's newest alerts (mmsi, ts, severity, id) added up."""
+    value = F.lit(0.05)
+    for name, v in SEVERITY.items():
+        value = F.when(F.col("severity") == name, v).otherwise(value)
+    last = W.partitionBy("mmsi").orderBy(F.desc("ts"), "id")
+    some = alerts.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= newest)
+    return some.groupBy("mmsi").agg(F.least(F.lit(1.0), F.sum(value)).alias("geofence"))
+
+
+#: Names that say nothing.
+NO_NAMES = ("UNKNOWN", "TEST", "N/A", "NONE", "DEFAULT", "123456", "VESSEL", "SHIP")
+
+
+def identity_factor(vessels: DataFrame) -> DataFrame:
+    """From vessels (mmsi, flag, imo, ship_type, name, avg_sog): what does not fit of number, flag, name, type and speed."""
+    length, kind, sog = F.length(F.col("mmsi").cast("string")), F.col("ship_type"), F.col("avg_sog")
+    name = F.upper(F.trim("name"))
+    rules = [
+        (length != 9, 0.2),
+        ((length == 9) & F.col("flag").isNull(), 0.15),
+        ((kind >= 60) & (F.coalesce(F.col("imo").cast("string"), F.lit("")) == ""), 0.2),
+        ((F.coalesce(F.col("name"), F.lit("")) != "") & (name.isin(*NO_NAMES) | (F.length(name) <= 1)), 0.15),
+        ((F.coalesce(F.col("name"), F.lit("")) == "") & (kind >= 30), 0.1),
+        ((kind == 30) & (sog > 12), 0.15),
+        (kind.isin(70, 71, 72, 73, 74, 79) & (sog < 2) & (sog > 0), 0.1),
+    ]
+    return vessels.select("mmsi", F.least(F.lit(1.0), sum(F.when(when, score).otherwise(0.0) for when, score in rules)).alias("identity"))
+
+
+def composite_risk(vessels: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
+    """The weighted mean of all six factors, of 100, and its level; a vessel that a factor does not know scores 0 there (0.5
+    for the flag). One plan for the whole fleet."""
+    if missing := set(WEIGHTS) - set(factors):
+        raise ValueError(f"factors missing: {', '.join(sorted(missing))}")
+    for name, f in factors.items():
+        vessels = vessels.join(f.select("mmsi", name), "mmsi", "left")
+    total = sum(F.coalesce(F.col(n), F.lit(0.5 if n == "flag" else 0.0)) * w for n, w in WEIGHTS.items()) / sum(WEIGHTS.values()) * 100
     out = vessels.select("mmsi", total.alias("risk"))
     return out.withColumn("level", F.when(F.col("risk") >= 75, "critical").when(F.col("risk") >= 50, "high").when(F.col("risk") >= 25, "medium").otherwise("low"))
 
@@ -232,3 +342,20 @@ def geofence_alerts(tracks: DataFrame, zones: list[dict]) -> DataFrame:
         return pd.DataFrame(out, columns=ALERTS.names)
 
     return tracks.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("mmsi").applyInPandas(run, ALERTS)
+
+
+def contains_column(zone: dict) -> Column:
+    if zone["kind"] == "circle":
+        return haversine("lat", "lon", F.lit(zone["lat"]), F.lit(zone["lon"]), NM) <= zone["radius_nm"]
+    return in_ring(F.col("lon"), F.col("lat"), zone["ring"])
+
+
+def zone_states(tracks: DataFrame, zones: list[dict]) -> DataFrame:
+    """Of each vessel and zone whether its last fix is inside, since when, and the time of the last fix."""
+    order = W.partitionBy("mmsi", "zone").orderBy("ts", "id")
+    each = F.explode(F.array(*[F.struct(F.lit(z["name"]).alias("zone"), contains_column(z).alias("inside")) for z in zones])).alias("z")
+    t = tracks.select("mmsi", "ts", "id", each).select("mmsi", "ts", "id", "z.*").withColumn("visit", F.sum((~F.col("inside")).cast("int")).over(order))
+    last = t.groupBy("mmsi", "zone").agg(F.max_by(F.struct("inside", "visit", "ts"), F.struct("ts", "id")).alias("x"))
+    since = t.where("inside").groupBy("mmsi", "zone", "visit").agg(F.min("ts").alias("since"))
+    now = last.select("mmsi", "zone", "x.inside", "x.visit", F.col("x.ts").alias("seen"))
+    return now.join(since, ["mmsi", "zone", "visit"], "left").select("mmsi", "zone", "inside", F.when(F.col("inside"), F.col("since")).alias("since"), "seen")

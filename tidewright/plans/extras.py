@@ -31,21 +31,12 @@ def flags(s, d):
     return D.tracks(s, d).select("mmsi").distinct().withColumn("flag", V.flag_of(F.col("mmsi"), PV.FLAGS))
 
 
-def stays(s, d):
-    return V.port_stays(D.tracks(s, d), 6.0)
-
-
 FLAG_SQL = "fl AS (" + PV.ORACLES["bh16_flags"].split(") SELECT DISTINCT", 1)[1].join(["SELECT DISTINCT", ")"])
-STAYS = PV.ORACLES["bh11_port_stays"]
-STAY_SQL = f"st AS ({STAYS}), v AS (SELECT mmsi, end_ts AS depart, lead(start_ts) OVER (PARTITION BY mmsi ORDER BY start_ts) AS arrive FROM st), voy AS (SELECT mmsi, depart, arrive, (epoch(arrive) - epoch(depart)) / 3600 AS hours, CASE WHEN arrive IS NULL THEN 'in_progress' ELSE 'completed' END AS status FROM v)"
 CCF = f"m1 AS ({PO.MONTHLY.format(PO.A)}), m2 AS ({PO.MONTHLY.format(PO.B)}), za AS (SELECT row_number() OVER (ORDER BY period) AS rn, (avg_value - avg(avg_value) OVER ()) / stddev_pop(avg_value) OVER () AS z, count(*) OVER () AS n FROM m1), zb AS (SELECT row_number() OVER (ORDER BY period) AS rn, (avg_value - avg(avg_value) OVER ()) / stddev_pop(avg_value) OVER () AS z, count(*) OVER () AS n FROM m2)"
 
 add("ts14_cross_correlation", lambda s, d: X.cross_correlation(O.monthly(D.time_series(s, d), PO.A), O.monthly(D.time_series(s, d), PO.B)), "time_series", f"WITH {CCF} SELECT CAST(zb.rn - za.rn AS INTEGER) AS lag, sum(za.z * zb.z) / max(least(za.n, zb.n)) AS r FROM za JOIN zb ON abs(zb.rn - za.rn) <= 12 GROUP BY 1")
 add("bh07_current", lambda s, d: X.current_behaviour(V.classified(V.features(V.windows(D.tracks(s, d))))), "tracks", f"WITH {PV.FEAT} SELECT mmsi, behaviour, end_ts FROM kind QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY w DESC) = 1")
-add("bh13_voyages", lambda s, d: X.voyages(stays(s, d)), "", f"WITH {STAY_SQL} SELECT * FROM voy")
-add("bh14_voyage_summary", lambda s, d: X.voyage_summary(X.voyages(stays(s, d))), "", f"WITH {STAY_SQL} SELECT status, count(*) AS n, sum(hours) AS hours, count(DISTINCT mmsi) AS vessels FROM voy GROUP BY 1")
 add("rk01_flag_factor", lambda s, d: X.flag_factor(flags(s, d), FLAG_RISK), "tracks", f"WITH {FLAG_SQL} SELECT mmsi, CASE flag " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in FLAG_RISK.items()) + " ELSE 0.5 END::DOUBLE AS flag FROM fl")
-add("rk06_identity_factor", lambda s, d: X.identity_factor(flags(s, d)), "tracks", f"WITH {FLAG_SQL} SELECT mmsi, (CASE WHEN length(CAST(mmsi AS VARCHAR)) <> 9 THEN 0.2 ELSE 0 END + CASE WHEN flag IS NULL THEN 0.15 ELSE 0 END)::DOUBLE AS identity FROM fl")
 add("ge07_box_tables", lambda s, d: O.in_box(D.entities(s, d), -60, -30, 60, 30).select(F.lit("entities").alias("kind"), "id").unionByName(O.in_box(D.events(s, d), -60, -30, 60, 30).select(F.lit("events").alias("kind"), F.col("id").cast("string").alias("id"))), "entities ev", "SELECT 'entities' AS kind, id FROM entities WHERE lon BETWEEN -60 AND 60 AND lat BETWEEN -30 AND 30 UNION ALL SELECT 'events', CAST(id AS VARCHAR) FROM ev WHERE lon BETWEEN -60 AND 60 AND lat BETWEEN -30 AND 30")
 add("ob10_briefing", lambda s, d: D.events(s, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity_id").alias("actors"), F.avg(F.get_json_object("props", "$.k").cast("double")).alias("avg_k")), "ev", "SELECT event_type, count(*) AS n, count(DISTINCT entity_id) AS actors, avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS avg_k FROM ev GROUP BY 1")
 add("al02_full_scan", lambda s, d: O.zscore_scan(D.time_series(s, d), threshold=1.8).select(F.lit("anomaly").alias("detector"), "severity").unionByName(O.density_alerts(D.events(s, d)).select(F.lit("density").alias("detector"), "severity")).groupBy("detector", "severity").agg(F.count(F.lit(1)).alias("n")), "time_series ev", f"WITH {PO.SCAN}, g AS (SELECT floor(lat / (500.0::DOUBLE / 111)) AS a, floor(lon / (500.0::DOUBLE / 111)) AS b, count(*) AS n FROM ev GROUP BY 1, 2), z AS (SELECT (n - avg(n) OVER ()) / nullif(stddev_pop(n) OVER (), 0) AS z FROM g) SELECT 'anomaly' AS detector, CASE WHEN abs(z_score) >= 5 THEN 'CRITICAL' WHEN abs(z_score) >= 4 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, count(*) AS n FROM scan WHERE abs(z_score) >= 1.8 GROUP BY 1, 2 UNION ALL SELECT 'density', CASE WHEN z >= 5 THEN 'HIGH' ELSE 'MEDIUM' END, count(*) FROM z WHERE z >= 1.5 GROUP BY 1, 2")
@@ -53,4 +44,3 @@ add("al03_alert_query", lambda s, d: O.zscore_scan(D.time_series(s, d), threshol
 add("sy03_templates", lambda s, d: X.template_counts(S.followed_by(D.events(s, d), 60, None), s.createDataFrame(TEMPLATES, "type_a string, type_b string, max_s int")), "ev", "WITH t(type_a, type_b, max_s) AS (VALUES " + ", ".join(f"('{a}', '{b}', {m})" for a, b, m in TEMPLATES) + f") SELECT type_a, type_b, max_s, count(*) AS n FROM {PS.FOLLOWS} JOIN t ON a.event_type = type_a AND b.event_type = type_b WHERE {PS.LAG} <= max_s GROUP BY 1, 2, 3")
 add("ca02_lifecycle", lambda s, d: X.lifecycle(table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").select(F.col("doc_id").alias("id"), F.least(F.col("n_chars") / 4000.0, F.lit(1.0)).alias("confidence"), F.col("quality").alias("feedback"))), "", "SELECT d.doc_id AS id, least(n_chars / 4000.0::DOUBLE, 1.0) AS confidence, CASE WHEN quality = 1 THEN 'confirmed' WHEN quality = 0 THEN 'rejected' WHEN least(n_chars / 4000.0::DOUBLE, 1.0) >= 0.6 THEN 'promoted' ELSE 'candidate' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 add("ca04_pruned", lambda s, d: X.pruned(table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score")), table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent_id")), 0.0).select("id", "parent_id"), "", "SELECT o_orderkey AS id, o_custkey AS parent_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
-add("tr04_value_mapper", lambda s, d: X.value_mapper(D.events(s, d), "$.k", F.col("event_type")), "ev", "SELECT id, event_type AS code, ts, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value FROM ev WHERE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) IS NOT NULL")
