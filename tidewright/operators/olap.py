@@ -6,6 +6,8 @@ are partitioned by the series unless the question is about one series, whose poi
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,8 +16,10 @@ PERIODS = ("hour", "day", "week", "month", "quarter", "year")
 
 
 def period_of(ts: str, period: str) -> Column:
-    """The start of the period; an unknown period means months."""
-    return F.date_trunc(period if period in PERIODS else "month", F.col(ts)).cast("timestamp_ntz").alias("period")
+    """The start of the period; an unknown period is an error."""
+    if period not in PERIODS:
+        raise ValueError(f"period must be one of {', '.join(PERIODS)}")
+    return F.date_trunc(period, F.col(ts)).cast("timestamp_ntz").alias("period")
 
 
 def conjunction(df: DataFrame, start=None, end=None, **equal) -> DataFrame:
@@ -112,7 +116,7 @@ def cusum(daily: DataFrame, sensitivity: float = 0.5, least: int = 30) -> DataFr
         hit = F.struct(p["day"].alias("day"), F.when(up > F.col("limit"), "increase").otherwise("decrease").alias("direction"), F.greatest(up, down).alias("size"))
         return F.struct(F.when(fired, 0.0).otherwise(up).alias("up"), F.when(fired, 0.0).otherwise(down).alias("down"), F.when(fired, F.concat(acc["found"], F.array(hit))).otherwise(acc["found"]).alias("found"))
 
-    s = s.select("code", F.explode(F.aggregate(F.slice("points", 2, 1_000_000), start, step)["found"]).alias("f"))
+    s = s.select("code", F.explode(F.aggregate(F.slice("points", 2, F.size("points")), start, step)["found"]).alias("f"))
     return s.select("code", "f.day", "f.direction", F.col("f.size").alias("cusum"))
 
 
@@ -122,22 +126,23 @@ def daily_series(ts: DataFrame) -> DataFrame:
 
 def smoothing_forecast(daily: DataFrame, horizon: int = 7, alpha: float = 0.3, least: int = 10) -> DataFrame:
     """Exponential smoothing of each code's days, drift over the last 30, and a band of 1.96 residual deviations."""
-    s = daily.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "value"))), lambda p: p["value"]).alias("v")).where(F.size("v") >= least)
+    s = daily.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "value"))), lambda p: p["value"]).alias("v"), F.max("day").alias("last")).where(F.size("v") >= least)
     start = F.struct(F.get("v", F.lit(0)).alias("level"), F.lit(0.0).alias("sq"))
 
     def step(acc, x):
         level = alpha * x + (1 - alpha) * acc["level"]
         return F.struct(level.alias("level"), (acc["sq"] + (x - level) * (x - level)).alias("sq"))
 
-    s = s.withColumn("acc", F.aggregate(F.slice("v", 2, 1_000_000), start, step)).withColumn("back", F.least(F.size("v"), F.lit(30)))
+    s = s.withColumn("acc", F.aggregate(F.slice("v", 2, F.size("v")), start, step)).withColumn("back", F.least(F.size("v"), F.lit(30)))
     first = F.get(F.col("v"), F.size("v") - F.col("back"))
-    s = s.select("code", F.col("acc.level").alias("level"), F.sqrt(F.col("acc.sq") / (F.size("v") - 1)).alias("sigma"), ((F.element_at("v", -1) - first) / (F.col("back") - 1)).alias("drift"))
+    s = s.select("code", "last", F.col("acc.level").alias("level"), F.sqrt(F.col("acc.sq") / (F.size("v") - 1)).alias("sigma"), ((F.element_at("v", -1) - first) / (F.col("back") - 1)).alias("drift"))
     s = s.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     mid, band = F.col("level") + F.col("drift") * F.col("step"), 1.96 * F.col("sigma") * F.sqrt("step")
-    return s.select("code", "step", mid.alias("forecast"), (mid - band).alias("low"), (mid + band).alias("high"))
+    day = (F.col("last") + F.make_dt_interval(days=F.col("step"))).cast("timestamp_ntz").alias("day")
+    return s.select("code", day, "step", mid.alias("forecast"), (mid - band).alias("low"), (mid + band).alias("high"))
 
 
-def lagged_correlation(daily: DataFrame, lags=(0, 7, 14, 30), least: int = 20) -> DataFrame:
+def lagged_correlation(daily: DataFrame, lags=(0, 7, 14, 30, 60, 90), least: int = 20) -> DataFrame:
     """Pearson's correlation of each pair of codes with the second taken ``lag`` days later."""
     a = daily.select(F.col("code").alias("code_a"), "day", F.col("value").alias("a"))
     b = daily.select(F.col("code").alias("code_b"), F.col("day").alias("day_b"), F.col("value").alias("b"))
@@ -146,7 +151,7 @@ def lagged_correlation(daily: DataFrame, lags=(0, 7, 14, 30), least: int = 20) -
     return j.agg(F.corr("a", "b").alias("r"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def heatwaves(daily: DataFrame, quantile: float = 0.9, run: int = 3, least: int = 30) -> DataFrame:
+def heatwaves(daily: DataFrame, quantile: float = 0.9, run: int = 5, least: int = 30) -> DataFrame:
     """Runs of at least ``run`` points above the element at ``quantile`` of the sorted values, per code."""
     by = W.partitionBy("code")
     n = F.count(F.lit(1)).over(by)
@@ -164,12 +169,100 @@ def pair_overlap(daily: DataFrame, least: int = 20) -> DataFrame:
     return a.join(b, "day").where("code_a < code_b").groupBy("code_a", "code_b").agg(F.count(F.lit(1)).alias("overlap_days")).where(F.col("overlap_days") >= least)
 
 
+def discovered_pairs(ts: DataFrame, least: int = 20, limit: int = 200) -> DataFrame:
+    """Pairs of series (code, source, commodity, country) of different sources with at least ``least`` points each and as many
+    days in common: the ``limit`` pairs with the most points, ranked by days in common."""
+    key = ["code", "source_name", "commodity", "country"]
+    days = ts.where("value is not null").groupBy(*key, F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    named = days.withColumn("series", F.concat_ws("|", *key))
+    many = named.groupBy("series").agg(F.sum("n").alias("points")).where(F.col("points") >= least)
+    held = named.select("series", F.col("source_name").alias("source"), "day").join(F.broadcast(many), "series")
+    a, b = (held.select("day", *[F.col(c).alias(f"{c}_{x}") for c in ("series", "source", "points")]) for x in "ab")
+    met = a.join(b, "day").where("series_a < series_b and source_a <> source_b")
+    g = met.groupBy("series_a", "series_b").agg(F.count(F.lit(1)).alias("overlap_days"), F.max(F.col("points_a") + F.col("points_b")).alias("points")).where(F.col("overlap_days") >= least)
+    first = g.orderBy(F.desc("points"), "series_a", "series_b").limit(limit)
+    return first.withColumn("rank", F.row_number().over(W.orderBy(F.desc("overlap_days"), "series_a", "series_b")))
+
+
 def aligned(observations: DataFrame, ts: DataFrame, period: str = "day") -> DataFrame:
     a = observations.groupBy(period_of("ts", period)).agg(F.avg("quality").alias("avg_quality"))
     b = ts.groupBy(period_of("ts", period)).agg(F.avg("value").alias("avg_value"))
     return a.join(b, "period")
 
 
+def aligned_correlation(both: DataFrame) -> DataFrame:
+    """Pearson's correlation of what ``aligned`` gives, null for fewer than two pairs or where one side does not vary."""
+    pairs = both.where("avg_quality is not null and avg_value is not null")
+    flat = (F.stddev_pop("avg_quality") == 0) | (F.stddev_pop("avg_value") == 0)
+    return pairs.agg(F.count(F.lit(1)).alias("n"), F.when((F.count(F.lit(1)) >= 2) & ~flat, F.corr("avg_quality", "avg_value")).alias("r"))
+
+
+def granger(daily: DataFrame, lags: tuple[int, ...] = (1, 3, 7, 14), least: int = 34) -> DataFrame:
+    """For each ordered pair of codes and each number of lags, whether the cause's past days better the effect's forecast by its
+    own: the F test of the two least squares fits over the days that both have, and its p value.
+
+    Lagged columns and the sums of their products are windows and aggregates; only a matrix a pair and lag is solved in Python.
+    """
+    a, b = (daily.select(F.col("code").alias(f"code_{x}"), "day", F.col("value").alias(x)) for x in "ab")
+    both = a.join(b, "day").where("code_a <> code_b").select(F.col("code_a").alias("cause"), F.col("code_b").alias("effect"), "day", "a", "b")
+    order = W.partitionBy("cause", "effect").orderBy("day")
+    most = max(lags)
+    wide = both.withColumns({f"b{k}": F.lag("b", k).over(order) for k in range(1, most + 1)} | {f"a{k}": F.lag("a", k).over(order) for k in range(1, most + 1)} | {"n": F.count(F.lit(1)).over(W.partitionBy("cause", "effect"))})
+    out = None
+    for p in lags:
+        cols = ["one", *[f"b{k}" for k in range(1, p + 1)], *[f"a{k}" for k in range(1, p + 1)], "b"]
+        rows = wide.where((F.col("n") >= least) & F.col(f"b{p}").isNotNull()).withColumn("one", F.lit(1.0))
+        products = F.array(*[F.sum(F.col(x) * F.col(y)) for i, x in enumerate(cols) for y in cols[: i + 1]])
+        g = rows.groupBy("cause", "effect").agg(products.alias("m"), F.count(F.lit(1)).alias("rows")).withColumn("lag", F.lit(p))
+        out = g if out is None else out.unionByName(g)
+
+    @F.pandas_udf("f double, p double")
+    def test(m: pd.Series, lag: pd.Series, rows: pd.Series) -> pd.DataFrame:
+        found = []
+        for flat, p, n in zip(m, lag, rows, strict=True):
+            size = 2 * p + 2
+            full = np.zeros((size, size))
+            full[np.tril_indices(size)] = flat
+            full = full + np.tril(full, -1).T
+
+            def rest(keep: list[int], full: np.ndarray = full) -> float:
+                x, y = full[np.ix_(keep, keep)], full[keep, -1]
+                return float(full[-1, -1] - y @ np.linalg.lstsq(x, y, rcond=None)[0])
+
+            free = n - 2 * p - 1
+            fewer, more = rest(list(range(p + 1))), rest(list(range(2 * p + 1)))
+            f = max((fewer - more) / p / (more / free), 0.0) if free > 0 and more > 1e-9 else None
+            found.append((f, None if f is None else f_tail(f, p, free)))
+        return pd.DataFrame(found, columns=["f", "p"], dtype="float64")
+
+    scored = out.withColumn("t", test("m", "lag", "rows"))
+    return scored.select("cause", "effect", "lag", "rows", F.col("t.f").alias("f"), F.col("t.p").alias("p"), (F.col("t.p") < 0.05).alias("significant"))
+
+
+def f_tail(f: float, a: int, b: int) -> float:
+    """How likely an F value of at least ``f`` is by chance, for a and b degrees of freedom: the incomplete beta function
+    by its continued fraction."""
+    from math import exp, lgamma, log
+
+    def fraction(x: float, p: float, q: float) -> float:
+        tiny = 1e-300
+        c, d = 1.0, 1 / (max(abs(1 - (p + q) * x / (p + 1)), tiny) * (1 if 1 - (p + q) * x / (p + 1) >= 0 else -1))
+        h = d
+        for m in range(1, 500):
+            for up in (m * (q - m) * x / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * x / ((p + 2 * m) * (p + 2 * m + 1))):
+                d, c = 1 / ((1 + up * d) or tiny), (1 + up / c) or tiny
+                h *= d * c
+            if abs(d * c - 1) < 1e-14:
+                break
+        return h
+
+    x, p, q = b / (b + a * f), b / 2, a / 2
+    if x <= 0 or x >= 1:
+        return 0.0 if x <= 0 else 1.0
+    front = exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * log(x) + q * log(1 - x))
+    return front * fraction(x, p, q) / p if x < (p + 1) / (p + q + 2) else 1 - front * fraction(1 - x, q, p) / q
+
+
 # Entities, flows
 
 

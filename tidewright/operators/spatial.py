@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -58,15 +58,27 @@ def event_sequences(events: DataFrame, minutes: int = 60, degrees: float = 20.0)
     return p.select(F.col("a.id").alias("first_id"), F.col("b.id").alias("second_id"), "lag_s", F.round((1 - F.col("lag_s") / (minutes * 60) + near) / 2, 3).alias("confidence"))
 
 
-def causal_chains(events: DataFrame, minutes: int = 60, least: int = 5) -> DataFrame:
-    """Pairs of event types against what chance would give; the p value is that of a chi-squared of one degree."""
-    pairs = followed_by(events, minutes, None).groupBy(F.col("a.event_type").alias("type_a"), F.col("b.event_type").alias("type_b")).agg(F.count(F.lit(1)).alias("observed"), F.avg("lag_s").alias("avg_lag_s"))
-    share = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("observed").over(W.partitionBy())
-    share = share.withColumn("p", F.col("n").cast("double") / F.sum("n").over(W.partitionBy()))
-    j = pairs.withColumn("all_pairs", total).join(F.broadcast(share.select(F.col("event_type").alias("type_a"), F.col("p").alias("pa"))), "type_a").join(F.broadcast(share.select(F.col("event_type").alias("type_b"), F.col("p").alias("pb"))), "type_b")
-    j = j.withColumn("expected", F.col("pa") * F.col("pb") * F.col("all_pairs")).where((F.col("observed") >= least) & (F.col("expected") >= 1))
-    return j.select("type_a", "type_b", "observed", "expected", "avg_lag_s", (F.pow(F.col("observed") - F.col("expected"), 2) / F.col("expected")).alias("chi2"))
+def chance(chi2: Column) -> Column:
+    """The p value of a chi-squared of one degree of freedom, by a rational form of the error function (good to 1.5e-7)."""
+    z = F.sqrt(chi2 / 2)
+    t = 1 / (1 + 0.3275911 * z)
+    return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-z * z)
+
+
+def causal_chains(events: DataFrame, minutes: int = 60, least: int = 5, degrees: float | None = None) -> DataFrame:
+    """Pairs of event types that follow each other more or less often than the types' shares of all events would give."""
+    pairs = followed_by(events, minutes, degrees).groupBy(F.col("a.event_type").alias("type_a"), F.col("b.event_type").alias("type_b")).agg(F.count(F.lit(1)).alias("observed"), F.avg("lag_s").alias("avg_lag_s"))
+    counts = events.groupBy("event_type").agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("all", F.sum("n").over(W.partitionBy()))
+    a, b = (counts.select(F.col("event_type").alias(f"type_{x}"), (F.col("n") / F.col("all")).alias(f"p{x}"), F.col("all").alias(f"all_{x}")) for x in "ab")
+    j = pairs.join(a, "type_a").join(b, "type_b").withColumn("expected", F.col("pa") * F.col("pb") * F.col("all_a")).where((F.col("observed") >= least) & (F.col("expected") >= 1))
+    j = j.withColumn("chi2", F.pow(F.col("observed") - F.col("expected"), 2) / F.col("expected")).withColumn("p", chance(F.col("chi2")))
+    kind = F.when((F.col("p") < 0.01) & (F.col("observed") > 2 * F.col("expected")), "CAUSES").otherwise("PRECEDES")
+    return j.select("type_a", "type_b", "observed", "expected", "avg_lag_s", "chi2", "p", kind.alias("kind"))
+
+
+def chain_edges(chains: DataFrame, most: float = 0.05) -> DataFrame:
+    """Edges of the pairs that are no chance, as strong as they are sure."""
+    return chains.where(F.col("p") < most).select(F.col("type_a").alias("source_id"), F.col("type_b").alias("target_id"), F.col("kind").alias("edge_type"), (1 - F.col("p")).alias("strength"))
 
 
 def co_occurrence(events: DataFrame, degrees: float = 2.0, days: int = 7, least: int = 2) -> DataFrame:
@@ -148,7 +160,10 @@ def morans_i(df: DataFrame, res: float = 10.0, least: int = 2) -> DataFrame:
     stats = F.broadcast(cells.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count(F.lit(1))).alias("ss")))
     pairs = _neighbours(cells, False).crossJoin(stats).agg(F.count(F.lit(1)).alias("w"), F.sum((F.col("v") - F.col("mean")) * (F.col("w") - F.col("mean"))).alias("cross"))
     out = pairs.crossJoin(stats).where("n >= 4")
-    return out.select("n", F.col("w").alias("weights"), (F.col("n") / F.col("w") * F.col("cross") / F.nullif("ss", F.lit(0.0))).alias("morans_i"), (-1 / (F.col("n") - 1)).alias("expected"))
+    out = out.select("n", F.col("w").alias("weights"), (F.col("n") / F.col("w") * F.col("cross") / F.nullif("ss", F.lit(0.0))).alias("morans_i"), (-1 / (F.col("n") - 1)).alias("expected"), (1 / (F.col("n") - 1)).alias("variance"))
+    i = F.col("morans_i")
+    reading = F.when(i > 0.3, "strong clustering").when(i > 0.1, "moderate clustering").when(i > -0.1, "random").otherwise("dispersed")
+    return out.withColumns({"z": (i - F.col("expected")) / F.sqrt("variance"), "reading": reading})
 
 
 def dbscan(points: DataFrame, km: float, min_points: int) -> DataFrame:
@@ -172,17 +187,33 @@ def dbscan(points: DataFrame, km: float, min_points: int) -> DataFrame:
     return cores.unionByName(border)
 
 
+def cluster_summary(points: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Per cluster (id, cluster) of points (id, lat, lon, source_name, event_type): size, centre, box, its five most frequent
+    sources and the counts of its types."""
+    j = points.join(clusters, "id")
+    g = j.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), *[f(c).alias(n) for f, c, n in ((F.min, "lat", "south"), (F.max, "lat", "north"), (F.min, "lon", "west"), (F.max, "lon", "east"))])
+    s = j.groupBy("cluster", "source_name").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("n"), "source_name"))).where("r <= 5")
+    top = s.groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "source_name"))), lambda x: x["source_name"]), ",").alias("sources"))
+    kinds = j.groupBy("cluster", "event_type").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "event_type", F.col("n").cast("string")))), ",").alias("kinds"))
+    return g.join(top, "cluster").join(kinds, "cluster")
+
+
 def trajectory_summary(tracks: DataFrame, least: int = 10) -> DataFrame:
     w = W.partitionBy("mmsi").orderBy("ts", "id")
     t = tracks.withColumns({f"p_{c}": F.lag(c).over(w) for c in ("lat", "lon", "ts")})
     hours = (F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.col("p_ts").cast("timestamp"))) / 3600.0
     t = t.withColumns({"km": haversine("p_lat", "p_lon", "lat", "lon"), "hours": hours})
     t = t.withColumn("kmh", F.when(F.col("hours") > 0, F.col("km") / F.nullif("hours", F.lit(0.0))))
-    g = t.groupBy("mmsi").agg(F.count(F.lit(1)).alias("points"), F.sum("km").alias("distance_km"), F.avg("kmh").alias("avg_kmh"), F.max("kmh").alias("max_kmh"))
-    return g.where(F.col("points") >= least)
+    heading = F.degrees(F.atan2(F.col("lon") - F.col("p_lon"), F.col("lat") - F.col("p_lat")))
+    t = t.withColumn("heading", F.when(F.col("p_lat").isNotNull(), heading)).withColumn("p_heading", F.lag("heading").over(w))
+    t = t.withColumn("turn", F.abs(F.pmod(F.col("heading") - F.col("p_heading") + 180, F.lit(360.0)) - 180))
+    g = t.groupBy("mmsi").agg(F.count(F.lit(1)).alias("points"), F.sum("km").alias("distance_km"), F.avg("kmh").alias("avg_kmh"), F.max("kmh").alias("max_kmh"), F.avg("turn").alias("avg_turn"))
+    knots, turn = F.coalesce(F.col("avg_kmh") / 1.852, F.lit(0.0)), F.coalesce("avg_turn", F.lit(0.0))
+    kind = F.when(knots < 0.5, "anchored").when((knots < 2) & (turn > 30), "loitering").when((knots > 8) & (turn < 15), "transit").when(turn > 20, "drift").otherwise("mixed")
+    return g.where(F.col("points") >= least).withColumn("behaviour", kind)
 
 
-def proximity_encounters(tracks: DataFrame, km: float = 30.0, within_s: int = 300, least: int = 2) -> DataFrame:
+def proximity_encounters(tracks: DataFrame, km: float = 30.0, within_s: int = 300, least: int = 2, hours: float = 0.0) -> DataFrame:
     """Pairs of vessels within ``km`` and ``within_s`` of each other at least ``least`` times, blocked by cell and time."""
     deg = km / 111.0
     sec = F.unix_seconds(F.col("ts").cast("timestamp"))
@@ -196,7 +227,7 @@ def proximity_encounters(tracks: DataFrame, km: float = 30.0, within_s: int = 30
     p = a.join(b, ["cy", "cx", "ct"]).where((F.col("a_mmsi") < F.col("b_mmsi")) & (F.abs(F.col("a_sec") - F.col("b_sec")) < within_s))
     p = p.withColumn("km", haversine("a_lat", "a_lon", "b_lat", "b_lon")).where(F.col("km") <= km)
     g = p.groupBy(F.col("a_mmsi").alias("mmsi_a"), F.col("b_mmsi").alias("mmsi_b"))
-    return g.agg(F.count(F.lit(1)).alias("n"), F.min("a_ts").alias("first_ts"), F.max("a_ts").alias("last_ts"), F.min("km").alias("min_km"), F.avg("km").alias("avg_km")).where(F.col("n") >= least)
+    return g.agg(F.count(F.lit(1)).alias("n"), F.min("a_ts").alias("first_ts"), F.max("a_ts").alias("last_ts"), F.min("km").alias("min_km"), F.avg("km").alias("avg_km")).where((F.col("n") >= least) & (F.unix_seconds(F.col("last_ts").cast("timestamp")) - F.unix_seconds(F.col("first_ts").cast("timestamp")) >= hours * 3600))
 
 
 def nearby_vessels(latest: DataFrame, lat: float, lon: float, km: float, limit: int = 100) -> DataFrame:

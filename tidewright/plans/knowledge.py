@@ -53,7 +53,6 @@ add("tr12_upsert", lambda s, d: R.upsert(D.events(s, d).select("entity_id", "sou
 add("ln02_ancestry", lambda s, d: R.ancestry(lineage(s, d), "l7-1"), "", f"WITH RECURSIVE {LINEAGE}, up AS (SELECT parent_id, child_id, 0 AS depth FROM lin WHERE child_id = 'l7-1' UNION SELECT l.parent_id, l.child_id, up.depth + 1 FROM lin l JOIN up ON l.child_id = up.parent_id WHERE up.depth < 9) SELECT parent_id, child_id, min(depth) AS depth FROM up GROUP BY 1, 2")
 add("ln03_impact", lambda s, d: R.ancestry(lineage(s, d).select(F.col("child_id").alias("parent_id"), F.col("parent_id").alias("child_id")), "c7", 4), "", f"WITH RECURSIVE {LINEAGE}, dn AS (SELECT child_id AS parent_id, parent_id AS child_id, 0 AS depth FROM lin WHERE parent_id = 'c7' UNION SELECT l.child_id, l.parent_id, dn.depth + 1 FROM lin l JOIN dn ON l.parent_id = dn.parent_id WHERE dn.depth < 3) SELECT parent_id, child_id, min(depth) AS depth FROM dn GROUP BY 1, 2")
 add("ln04_coverage", lambda s, d: D.events(s, d).groupBy("source_name", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")), "ev", "SELECT source_name, event_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM ev GROUP BY 1, 2")
-add("io12_strip_and_slug", lambda s, d: table(s, d, "pages").select("page_id", R.slug(F.col("url")).alias("slug")), "", "SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages")
 add("cx03_dms", lambda s, d: D.events(s, d).select("id", F.concat(F.lit("at "), (F.col("id") % 90).cast("string"), F.lit("-"), (F.col("id") % 60).cast("string"), F.lit(".5"), F.when(F.col("id") % 2 == 0, "N").otherwise("S")).alias("t")).select("id", R.dms(F.col("t")).alias("degrees")), "ev", "SELECT id, (id % 90 + (id % 60 + 0.5::DOUBLE) / 60) * CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END AS degrees FROM ev")
 add("cx06_longitude_360", lambda s, d: D.events(s, d).select("id", F.pmod("lon", F.lit(360.0)).alias("lon360")), "ev", "SELECT id, ((lon % 360) + 360) % 360 AS lon360 FROM ev")
 
@@ -64,10 +63,7 @@ add("gr10_subgraph", lambda s, d: G.induced(rel(s, d), D.entities(s, d).where("e
 add("gr24_top_subgraph", lambda s, d: G.induced(rel(s, d), G.top_nodes(rel(s, d), 200)), "relationships", f"WITH {TOP} SELECT source_id, dest_id, relationship_type FROM relationships WHERE source_id IN (SELECT id FROM top) AND dest_id IN (SELECT id FROM top)")
 add("gr22_cross_domain", lambda s, d: G.cross_domain(rel(s, d), D.entities(s, d)), "relationships entities", "WITH e AS (SELECT source_id AS a, dest_id AS b FROM relationships UNION SELECT dest_id, source_id FROM relationships) SELECT a AS id, count(DISTINCT sector) AS domains, count(DISTINCT sector) * count(*) AS score FROM e JOIN entities n ON e.b = n.id GROUP BY 1 HAVING count(DISTINCT sector) > 1")
 add("jn22_top_nodes", lambda s, d: D.entities(s, d).select("id", "name").join(G.top_nodes(rel(s, d), 200), "id"), "relationships entities", f"WITH {TOP} SELECT e.id, name FROM entities e JOIN top ON e.id = top.id")
-add("vc06_embedding_text", lambda s, d: D.entities(s, d).select("id", F.concat_ws(" | ", "name", "entity_type", "country", "sector").alias("text")), "entities", "SELECT id, concat_ws(' | ', name, entity_type, country, sector) AS text FROM entities")
 add("er02_exact_identifier", lambda s, d: R.exact_pairs(D.entities(s, d).withColumn("entity_type", F.col("sector"))), "entities", "SELECT a.id AS id_a, b.id AS id_b, 0.95::DOUBLE AS confidence FROM entities a JOIN entities b ON a.identifier = b.identifier AND a.sector = b.sector AND a.source_name < b.source_name")
-CRITIC = "0.35 * l_quantity / 50 + 0.30 * (1 - l_discount) + 0.20 * (1 - l_tax) + 0.15"
-add("ca03_critic_composite", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (0.35 * F.col("l_quantity") / 50 + 0.30 * (1 - F.col("l_discount")) + 0.20 * (1 - F.col("l_tax")) + 0.15).alias("score")), "", f"SELECT l_orderkey, l_linenumber, {CRITIC} AS score FROM lineitem")
 add("ca05_truncation", lambda s, d: R.within_budget(table(s, d, "conversations"), "conv_id", "turn", "text", 2000), "", "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(strlen(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn, text) AS used FROM conversations) WHERE used <= 2000")
 add("cx11_quarter_of_decimal_year", lambda s, d: D.events(s, d).select("id", (2000 + F.col("quality")).alias("y")).select("id", R.quarter_month(F.col("y")).alias("month")), "ev", "SELECT id, CASE WHEN (2000 + quality) - floor(2000 + quality) < 0.25 THEN 2 WHEN (2000 + quality) - floor(2000 + quality) < 0.5 THEN 5 WHEN (2000 + quality) - floor(2000 + quality) < 0.75 THEN 8 ELSE 11 END AS month FROM ev")
 add("cx17_filled_histogram", lambda s, d: R.filled_days(D.events(s, d), 14), "ev", "WITH last AS (SELECT max(CAST(ts AS DATE)) AS t FROM ev), days AS (SELECT t - CAST(i AS INTEGER) AS day FROM last, range(14) r(i)), kinds AS (SELECT DISTINCT event_type FROM ev) SELECT day, k.event_type, count(e.id) AS n FROM days CROSS JOIN kinds k LEFT JOIN ev e ON CAST(e.ts AS DATE) = day AND e.event_type = k.event_type GROUP BY 1, 2")

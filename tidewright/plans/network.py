@@ -132,17 +132,18 @@ add(
     "relationships",
     f"WITH RECURSIVE {TWO}, walk AS (SELECT source_id, dest_id, relationship_type, strength, 1 AS depth FROM e WHERE source_id = 's7' OR dest_id = 's7' UNION SELECT e.*, w.depth + 1 FROM walk w JOIN e ON (e.source_id = w.dest_id AND w.dest_id <> 's7') OR (e.dest_id = w.source_id AND w.source_id <> 's7') WHERE w.depth < 3) SELECT source_id, dest_id, relationship_type, strength, min(depth) AS depth FROM walk GROUP BY ALL",
 )
-LIN = "lin AS (SELECT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders UNION SELECT 'o' || l_orderkey, 'l' || l_orderkey || '-' || l_linenumber FROM lineitem UNION SELECT 'l' || l_orderkey || '-' || l_linenumber, 'p' || l_partkey FROM lineitem)"
+LIN = "lin AS (SELECT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders UNION SELECT 'o' || l_orderkey, 'l' || l_orderkey || '-' || l_linenumber FROM lineitem UNION SELECT 'l' || l_orderkey || '-' || l_linenumber, 'p' || l_partkey FROM lineitem UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem)"
 
 
 def product_paths(s, d):
     li = table(s, d, "lineitem")
     to_part = li.select(F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("source_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dest_id"))
     edges = lineage(s, d).select(F.col("parent_id").alias("source_id"), F.col("child_id").alias("dest_id")).unionByName(to_part)
-    return G.simple_paths(edges, "c7", "p15", 5, 50)
+    to_supplier = li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dest_id"))
+    return G.simple_paths(edges.unionByName(to_supplier), "c7", "s3", 5, 50)
 
 
-add("gr09_simple_paths", product_paths, "", f"WITH RECURSIVE {LIN}, p(path, tail, depth) AS (SELECT [a, b], b, 1 FROM lin WHERE a = 'c7' UNION ALL SELECT list_append(path, b), b, depth + 1 FROM p JOIN lin ON a = tail WHERE depth < 5 AND tail <> 'p15' AND NOT list_contains(path, b)) SELECT depth, array_to_string(path, '>') AS path FROM p WHERE tail = 'p15' ORDER BY 1, 2 LIMIT 50")
+add("gr09_simple_paths", product_paths, "", f"WITH RECURSIVE {LIN}, p(path, tail, depth) AS (SELECT [a, b], b, 1 FROM lin WHERE a = 'c7' UNION ALL SELECT list_append(path, b), b, depth + 1 FROM p JOIN lin ON a = tail WHERE depth < 5 AND tail <> 's3' AND NOT list_contains(path, b)) SELECT depth, array_to_string(path, '>') AS path FROM p WHERE tail = 's3' ORDER BY 1, 2 LIMIT 50")
 add(
     "gr13_entity_network",
     lambda s, d: N.entity_network(two_way(s, d).select("source_id", "dest_id", "relationship_type"), "s7", 3),

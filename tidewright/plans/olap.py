@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tidewright.operators import olap as O
 from tidewright.sources import domain as D
 from tidewright.sources.domain import with_views
@@ -49,10 +51,19 @@ add("ts10_cusum", daily(O.cusum, sensitivity=0.002), "time_series", f"""WITH REC
     SELECT code, day, CASE WHEN u > lim THEN 'increase' ELSE 'decrease' END AS direction, greatest(u, w) AS cusum FROM f WHERE hit""")
 add("ts11_forecast", daily(O.smoothing_forecast), "", None)
 add("ts12_daily", lambda s, d: O.daily_series(D.time_series(s, d)), "time_series", f"WITH {DAILY} SELECT * FROM daily")
-add("ts13_lagged_correlation", daily(O.lagged_correlation), "time_series", f"WITH {DAILY} SELECT a.code AS code_a, b.code AS code_b, l.lag::INTEGER AS lag, corr(a.value, b.value) AS r, count(*) AS n FROM daily a CROSS JOIN (SELECT unnest([0, 7, 14, 30]) AS lag) l JOIN daily b ON b.day = a.day + to_days(l.lag::INTEGER) AND a.code < b.code GROUP BY 1, 2, 3 HAVING count(*) >= 20")
+add("ts13_lagged_correlation", daily(O.lagged_correlation), "time_series", f"WITH {DAILY} SELECT a.code AS code_a, b.code AS code_b, l.lag::INTEGER AS lag, corr(a.value, b.value) AS r, count(*) AS n FROM daily a CROSS JOIN (SELECT unnest([0, 7, 14, 30, 60, 90]) AS lag) l JOIN daily b ON b.day = a.day + to_days(l.lag::INTEGER) AND a.code < b.code GROUP BY 1, 2, 3 HAVING count(*) >= 20")
 add("ts16_pair_overlap", daily(O.pair_overlap), "time_series", f"WITH {DAILY} SELECT a.code AS code_a, b.code AS code_b, count(*) AS overlap_days FROM daily a JOIN daily b ON a.day = b.day AND a.code < b.code GROUP BY 1, 2 HAVING count(*) >= 20")
-add("ts17_heatwaves", daily(O.heatwaves), "time_series", f"WITH {DAILY}, s AS (SELECT code, day, value, count(*) OVER c AS n, avg(value) OVER c AS mean, row_number() OVER (PARTITION BY code ORDER BY day) AS rn FROM daily WINDOW c AS (PARTITION BY code)), t AS (SELECT code, list_extract(list_sort(list(value)), CAST(floor(0.9 * count(*)) AS BIGINT) + 1) AS threshold FROM daily GROUP BY code), h AS (SELECT s.*, rn - row_number() OVER (PARTITION BY s.code ORDER BY day) AS island FROM s JOIN t USING (code) WHERE n >= 30 AND value > threshold) SELECT code, min(day) AS start_day, max(day) AS end_day, count(*) AS days, max(value - mean) AS max_intensity, avg(value - mean) AS mean_intensity FROM h GROUP BY code, island HAVING count(*) >= 3")
+add("ts17_heatwaves", daily(O.heatwaves), "time_series", f"WITH {DAILY}, s AS (SELECT code, day, value, count(*) OVER c AS n, avg(value) OVER c AS mean, row_number() OVER (PARTITION BY code ORDER BY day) AS rn FROM daily WINDOW c AS (PARTITION BY code)), t AS (SELECT code, list_extract(list_sort(list(value)), CAST(floor(0.9 * count(*)) AS BIGINT) + 1) AS threshold FROM daily GROUP BY code), h AS (SELECT s.*, rn - row_number() OVER (PARTITION BY s.code ORDER BY day) AS island FROM s JOIN t USING (code) WHERE n >= 30 AND value > threshold) SELECT code, min(day) AS start_day, max(day) AS end_day, count(*) AS days, max(value - mean) AS max_intensity, avg(value - mean) AS mean_intensity FROM h GROUP BY code, island HAVING count(*) >= 5")
 add("ts18_alignment", lambda s, d: O.aligned(D.assessments(s, d).withColumnRenamed("score", "quality"), D.time_series(s, d), "month"), "assessments time_series", "SELECT e.period, avg_quality, avg_value FROM (SELECT date_trunc('month', ts) AS period, avg(score) AS avg_quality FROM assessments GROUP BY 1) e JOIN (SELECT date_trunc('month', ts) AS period, avg(value) AS avg_value FROM time_series GROUP BY 1) t ON e.period = t.period")
+add("ts18_alignment_correlation", lambda s, d: O.aligned_correlation(O.aligned(D.assessments(s, d).withColumnRenamed("score", "quality"), D.time_series(s, d), "month")), "assessments time_series", "SELECT count(*) AS n, corr(avg_quality, avg_value) AS r FROM (SELECT date_trunc('month', ts) AS period, avg(score) AS avg_quality FROM assessments GROUP BY 1) e JOIN (SELECT date_trunc('month', ts) AS period, avg(value) AS avg_value FROM time_series GROUP BY 1) t ON e.period = t.period")
+add("ts15_granger", daily(O.granger), "", None)
+SERIES = "concat_ws('|', code, source_name, commodity, country)"
+add(
+    "ts16_discovered_pairs",
+    lambda s, d: O.discovered_pairs(D.time_series(s, d).withColumn("country", F.lit("all")), 20),
+    "time_series",
+    f"WITH d AS (SELECT {SERIES.replace('country', chr(39) + 'all' + chr(39))} AS series, source_name AS source, CAST(ts AS DATE) AS day, count(*) AS n FROM time_series WHERE value IS NOT NULL GROUP BY ALL), m AS (SELECT series, sum(n) AS points FROM d GROUP BY 1 HAVING sum(n) >= 20), h AS (SELECT d.*, points FROM d JOIN m USING (series)), g AS (SELECT a.series AS series_a, b.series AS series_b, count(*) AS overlap_days, CAST(max(a.points + b.points) AS BIGINT) AS points FROM h a JOIN h b ON a.day = b.day AND a.series < b.series AND a.source <> b.source GROUP BY 1, 2 HAVING count(*) >= 20), f AS (SELECT * FROM g ORDER BY points DESC, series_a, series_b LIMIT 200) SELECT *, row_number() OVER (ORDER BY overlap_days DESC, series_a, series_b) AS rank FROM f",
+)
 for by in ("entity_type", "country", "sector"):
     add(f"en01_distribution_{by}", on(O.distribution, "entities", by=by), "entities", f"SELECT {by} AS key, count(*) AS n FROM entities WHERE {by} IS NOT NULL GROUP BY 1")
 add("en02_connectivity", on(O.connectivity, "entities", "relationships"), "entities relationships", f"WITH {DEGREES.format('relationships')} SELECT e.id, name, coalesce(out_degree, 0) AS out_degree, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) + coalesce(in_degree, 0) AS total_degree FROM entities e LEFT JOIN deg ON e.id = deg.id")
@@ -83,6 +94,23 @@ add("ob06_latest_positions", lambda s, d: O.latest_positions(O.in_box(D.tracks(s
 add("ob07_latest_of_one", lambda s, d: O.latest_positions(D.tracks(s, d).where("mmsi = 203000009")), "tracks", LATEST.format("WHERE mmsi = 203000009"))
 add("ob08_active_vessels", on(O.active_vessels, "tracks"), "tracks", "SELECT mmsi, max(ts) AS last_seen, count(*) AS n FROM tracks GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
 add("ob09_area_vessels", lambda s, d: O.in_box(D.tracks(s, d), 20, 10, 22, 12).select("mmsi").distinct(), "tracks", "SELECT DISTINCT mmsi FROM tracks WHERE lon BETWEEN 20 AND 22 AND lat BETWEEN 10 AND 12")
-add("ob11_platform_stats", lambda s, d: D.events(s, d).groupBy("source_name").count().withColumnRenamed("count", "n").orderBy("n", "source_name", ascending=[False, True]).limit(20), "ev", "SELECT source_name, count(*) AS n FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+add(
+    "ob11_platform_stats",
+    lambda s, d: platform_stats(s, d),
+    "ev entities flows",
+    "SELECT 'events' AS kind, 'all' AS name, count(*) AS n FROM ev UNION ALL SELECT 'entities', 'all', count(*) FROM entities UNION ALL SELECT 'flows', 'all', count(*) FROM flows UNION ALL SELECT 'sources', 'all', count(DISTINCT source_name) FROM ev UNION ALL SELECT 'entity_type', entity_type, count(*) FROM entities GROUP BY 2 UNION ALL SELECT 'event_type', event_type, count(*) FROM ev GROUP BY 2 UNION ALL (SELECT 'top_source', source_name, count(*) AS n FROM ev GROUP BY 2 ORDER BY n DESC, 2 LIMIT 20)",
+)
+
+
+def platform_stats(s, d):
+    """Rows of all tables, distinct sources, distributions and the twenty sources with the most rows."""
+    e, n, f = D.events(s, d), D.entities(s, d), D.flows(s, d)
+    whole = lambda df, kind, value=None: df.agg((value if value is not None else F.count(F.lit(1))).alias("n")).select(F.lit(kind).alias("kind"), F.lit("all").alias("name"), "n")
+    by = lambda df, kind, c: df.groupBy(F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
+    parts = [whole(e, "events"), whole(n, "entities"), whole(f, "flows"), whole(e, "sources", F.countDistinct("source_name")), by(n, "entity_type", "entity_type"), by(e, "event_type", "event_type"), by(e, "top_source", "source_name").orderBy(F.desc("n"), "name").limit(20)]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 add("al01_density_alerts", on(O.density_alerts, "events"), "ev", "WITH g AS (SELECT floor(lat / (500.0::DOUBLE / 111)) AS a, floor(lon / (500.0::DOUBLE / 111)) AS b, count(*) AS n FROM ev GROUP BY 1, 2), z AS (SELECT n, (n - avg(n) OVER ()) / nullif(stddev_pop(n) OVER (), 0) AS z_score FROM g) SELECT n, z_score, CASE WHEN z_score >= 5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM z WHERE z_score >= 1.5")
 add("ge06_density_surface", on(O.density_surface, "events"), "ev", f"SELECT *, CAST(n AS DOUBLE) / max(n) OVER () AS relative FROM (SELECT {GRID.format(5.0)}, count(*) AS n, round(avg(quality), 9) AS avg_quality, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT source_name) AS sources FROM ev GROUP BY 1, 2)")
