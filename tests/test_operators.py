@@ -1,13 +1,17 @@
 """Operators that SQL does not check: fixtures with known answers."""
 
 import uuid
+from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.common import Scratch, spread_join
+from tidewright.common import Scratch, free_name, spread_join
 from tidewright.operators import graph as G
+from tidewright.operators import olap as O
 from tidewright.operators import records as R
+from tidewright.operators import rows as X
 from tidewright.operators import vessels as V
 from tidewright.operators.components import connected_components
 from tidewright.plans.vessels import ZONES
@@ -118,3 +122,107 @@ def test_capped_components(spark):
     near = {r.id: r.label for r in G.min_label_components(edges, 10).collect()}
     assert near["n10"] == "n00" and near["n11"] == "n01" and near["n12"] == "n02"
     assert set(r.label for r in G.min_label_components(edges, 12).collect()) == {"n00"}
+
+
+def test_f_tail():
+    # From tables: the 5 % and 1 % points.
+    for f, a, b, p in ((4.351, 1, 20, 0.05), (2.711, 5, 20, 0.05), (8.096, 1, 20, 0.01), (1.0, 10, 10, 0.5), (0.0, 3, 9, 1.0)):
+        assert O.f_tail(f, a, b) == pytest.approx(p, abs=2e-4)
+
+
+def test_granger_against_least_squares(spark):
+    rng = np.random.default_rng(4)
+    n, start = 120, datetime(2024, 1, 1)
+    x = rng.normal(size=n)
+    y = np.concatenate([[0.0], 0.8 * x[:-1]]) + 0.3 * rng.normal(size=n)
+    rows = [(c, start + timedelta(days=i), float(v[i])) for c, v in (("x", x), ("y", y)) for i in range(n)]
+    got = {(r.cause, r.effect, r["lag"]): r for r in O.granger(spark.createDataFrame(rows, "code string, day timestamp_ntz, value double"), (1, 3)).collect()}
+
+    def plain(a, b, p):
+        own = np.column_stack([np.ones(n - p), *[b[p - k : n - k] for k in range(1, p + 1)]])
+        both = np.column_stack([own, *[a[p - k : n - k] for k in range(1, p + 1)]])
+        rest = [float(((b[p:] - m @ np.linalg.lstsq(m, b[p:], rcond=None)[0]) ** 2).sum()) for m in (own, both)]
+        return (rest[0] - rest[1]) / p / (rest[1] / (n - p - 2 * p - 1))
+
+    for p in (1, 3):
+        assert got["x", "y", p].f == pytest.approx(plain(x, y, p), rel=1e-6) and got["x", "y", p].significant
+        assert got["y", "x", p].f == pytest.approx(plain(y, x, p), rel=1e-6, abs=1e-9) and not got["y", "x", p].significant
+    assert O.granger(spark.createDataFrame([], "code string, day timestamp_ntz, value double")).collect() == []
+
+
+def test_forecast_against_a_plain_fold(spark):
+    v = [float(10 + i % 5 + i * 0.2) for i in range(45)]
+    rows = [("c", datetime(2024, 1, 1) + timedelta(days=i), x) for i, x in enumerate(v)]
+    got = O.smoothing_forecast(spark.createDataFrame(rows, "code string, day timestamp_ntz, value double"), 3).orderBy("step").collect()
+    level, sq = v[0], 0.0
+    for x in v[1:]:
+        level = 0.3 * x + 0.7 * level
+        sq += (x - level) ** 2
+    drift, sigma = (v[-1] - v[-30]) / 29, (sq / (len(v) - 1)) ** 0.5
+    for k, r in enumerate(got, 1):
+        assert r.forecast == pytest.approx(level + drift * k) and r.high - r.forecast == pytest.approx(1.96 * sigma * k**0.5) and r.day == datetime(2024, 1, 1) + timedelta(days=44 + k)
+
+
+def test_a_series_is_folded_whole(spark):
+    daily = spark.range(1_100_000).select(F.lit("c").alias("code"), (F.lit("1000-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("day"), F.when(F.col("id") > 1_050_000, 5.0).otherwise(F.col("id") % 2).cast("double").alias("value"))
+    last = O.cusum(daily, sensitivity=0.001).agg(F.max("day")).first()[0]
+    assert last > datetime(1000, 1, 1) + timedelta(minutes=1_050_000)
+
+
+def test_unknown_periods_are_errors():
+    with pytest.raises(ValueError, match="period must be one of"):
+        O.period_of("ts", "fortnight")
+
+
+def test_short_tracks_are_one_window(spark):
+    rows = [(1, 5, datetime(2024, 1, 1), 0.0, 0.0, 0.1, 5.0), (2, 6, datetime(2024, 1, 1), 0.0, 0.0, 9.0, 5.0), (3, 6, datetime(2024, 1, 1, 2), 0.2, 0.2, 9.0, 5.0)]
+    w = V.windows(spark.createDataFrame(rows, "id long, mmsi long, ts timestamp_ntz, lat double, lon double, sog double, cog double"))
+    got = {r.mmsi: r for r in V.classified(V.features(w)).collect()}
+    assert (got[5].behaviour, got[5].confidence, got[5].points) == ("unknown", 0.0, 1) and (got[6].behaviour, got[6].points) == ("transiting", 2)
+
+
+@pytest.mark.parametrize(
+    ("row", "kind", "risk", "confidence"),
+    [
+        ((1.0, 1.0, 0.05, 90.0, 61.0, 9), "rendezvous", "critical", 0.95),
+        ((1.0, 2.9, 0.5, 0.0, 10.0, 3), "rendezvous", "medium", 0.7),
+        ((10.0, 9.0, 0.1, 5.0, 50.0, 9), "parallel_transit", "medium", 0.6),
+        ((10.0, 9.0, 0.5, 50.0, 20.0, 9), "crossing", "low", 0.4),
+        ((10.0, 9.0, 0.5, 50.0, 40.0, 9), "unknown", "low", 0.3),
+    ],
+)
+def test_kinds_of_meetings(spark, row, kind, risk, confidence):
+    r = V.meeting_kind(spark.createDataFrame([row], "sog_a double, sog_b double, min_nm double, cog_apart double, seen_minutes double, marks int")).first()
+    assert (r.kind, r.risk) == (kind, risk) and r.confidence == pytest.approx(confidence)
+
+
+def test_a_composite_needs_every_factor(spark):
+    one = lambda name, v: spark.createDataFrame([(1, v)], f"mmsi long, {name} double")
+    factors = {name: one(name, 1.0) for name in V.WEIGHTS}
+    vessels = spark.createDataFrame([(1,), (2,)], "mmsi long")
+    got = {r.mmsi: (round(r.risk, 6), r.level) for r in V.composite_risk(vessels, factors).collect()}
+    assert got == {1: (100.0, "critical"), 2: (7.5, "low")}
+    with pytest.raises(ValueError, match="factors missing: gap"):
+        V.composite_risk(vessels, {k: v for k, v in factors.items() if k != "gap"})
+    alerts = spark.createDataFrame([(1, i, "critical" if i == 0 else "info", "x") for i in range(60)], "mmsi long, ts int, severity string, id string")
+    assert V.geofence_factor(alerts).first().geofence == 1.0
+    assert V.geofence_factor(alerts.where("ts < 4")).first().geofence == pytest.approx(0.55)
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    chain = spark.range(400).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    with pytest.raises(RuntimeError, match="not settled"):
+        connected_components(chain, Scratch(spark, "t"), max_rounds=2)
+
+
+def test_one_failing_detector_stops_no_other(spark):
+    def bad():
+        raise RuntimeError("no data")
+
+    out, failed = X.full_scan({"a": lambda: spark.createDataFrame([("HIGH",)], "severity string"), "b": bad})
+    assert [tuple(r) for r in out.collect()] == [("a", "HIGH", 1)] and failed == {"b": "no data"}
+    assert X.backfilled({"a": lambda: 3, "b": bad}) == {"a": 3, "b": "failed: no data"}
+
+
+def test_names_that_are_free():
+    assert free_name(["__X", "__x_"], "__x") == "__x__" and free_name([], "a") == "a"
