@@ -83,7 +83,10 @@ def coordinates(s, d):
     return D.events(s, d).select("id", F.round(X.coordinate(text), 6).alias("at"))
 
 
-add("cx04_coordinates", coordinates, "ev", "SELECT id, round(CASE WHEN id % 3 = 0 THEN round(lat, 1) WHEN id % 3 = 1 THEN (floor(abs(lat)) + (id % 60) / 60.0 + 30 / 3600.0) * CASE WHEN lat < 0 THEN -1 ELSE 1 END END, 6) AS at FROM ev")
+add("cx04_coordinates", coordinates, "ev", (
+    "SELECT id, round(CASE WHEN id % 3 = 0 THEN round(lat, 1) WHEN id % 3 = 1 THEN (floor(abs(lat)) + (id % 60) / 60.0 + 30 / 3600.0) * CASE WHEN lat < 0 "
+    "THEN -1 ELSE 1 END END, 6) AS at FROM ev"
+))
 
 
 def positions(s, d):
@@ -105,13 +108,19 @@ add(
     "cx09_score_means",
     lambda s, d: X.score_means(D.time_series(s, d).withColumns({"year": F.year("ts"), "value": (F.col("id") % 7).cast("double")}), ["country", "year"], "code", "value", {"urgent": "urgent", "low": "LOW"}),
     "time_series",
-    "SELECT country, year(ts) AS year, round(avg(id % 7), 2) AS overall, round(avg(id % 7) FILTER (code ILIKE '%urgent%'), 2) AS urgent, round(avg(id % 7) FILTER (code ILIKE '%low%'), 2) AS low FROM time_series GROUP BY ALL",
+    (
+        "SELECT country, year(ts) AS year, round(avg(id % 7), 2) AS overall, round(avg(id % 7) FILTER (code ILIKE '%urgent%'), 2) AS urgent, round(avg(id % 7) "
+        "FILTER (code ILIKE '%low%'), 2) AS low FROM time_series GROUP BY ALL"
+    ),
 )
 add(
     "cx10_missing_markers",
     lambda s, d: X.marked_numbers(D.events(s, d).select("id", F.when(F.col("id") % 3 == 0, " MM ").otherwise((F.col("id") % 9).cast("string")).alias("wave"), F.when(F.col("id") % 5 == 0, "MM").otherwise("2.5").alias("wind")), ["wave", "wind"]),
     "ev",
-    "SELECT id, CASE WHEN id % 3 <> 0 THEN (id % 9)::DOUBLE END AS wave, CASE WHEN id % 5 <> 0 THEN 2.5 END AS wind, '{' || concat_ws(',', CASE WHEN id % 3 <> 0 THEN '\"wave\":' || (id % 9) || '.0' END, CASE WHEN id % 5 <> 0 THEN '\"wind\":2.5' END) || '}' AS payload FROM ev",
+    (
+        "SELECT id, CASE WHEN id % 3 <> 0 THEN (id % 9)::DOUBLE END AS wave, CASE WHEN id % 5 <> 0 THEN 2.5 END AS wind, '{' || concat_ws(',', CASE WHEN id % 3 "
+        "<> 0 THEN '\"wave\":' || (id % 9) || '.0' END, CASE WHEN id % 5 <> 0 THEN '\"wind\":2.5' END) || '}' AS payload FROM ev"
+    ),
 )
 
 
@@ -128,7 +137,10 @@ add(
     "cx14_keyword_region",
     lambda s, d: table(s, d, "nation").select("n_name", X.region_of(F.col("n_name"), REGIONS, "elsewhere").alias("region")),
     "",
-    "SELECT n_name, CASE WHEN n_name ILIKE '%nation_12%' THEN 'east' WHEN n_name ILIKE '%nation_21%' THEN 'west' WHEN n_name ILIKE '%nation_1%' THEN 'north' WHEN n_name ILIKE '%ation_2%' THEN 'south' WHEN n_name ILIKE '%nation_%' THEN 'open sea' ELSE 'elsewhere' END AS region FROM nation",
+    (
+        "SELECT n_name, CASE WHEN n_name ILIKE '%nation_12%' THEN 'east' WHEN n_name ILIKE '%nation_21%' THEN 'west' WHEN n_name ILIKE '%nation_1%' THEN "
+        "'north' WHEN n_name ILIKE '%ation_2%' THEN 'south' WHEN n_name ILIKE '%nation_%' THEN 'open sea' ELSE 'elsewhere' END AS region FROM nation"
+    ),
 )
 add("cx15_vessel_lines", lambda s, d: X.vessel_lines(table(s, d, "orders").select("o_orderkey", F.concat_ws(",", F.col("o_orderpriority"), F.when(F.col("o_orderkey") % 4 == 0, "a ship").otherwise("a car")).alias("line"))), "", "SELECT o_orderkey, o_orderpriority || ',a ship' AS line FROM orders WHERE o_orderkey % 4 = 0")
 add("cx16_grid_plan", lambda s, d: X.grid_plan(s, 10.0, -5.0, 14.0, -4.2, 6), "", "SELECT i, j, 10 + i * (4.0 / 6) AS lon, -5 + j * (0.8 / 2) AS lat FROM range(6) a(i), range(2) b(j)")

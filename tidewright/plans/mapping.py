@@ -63,7 +63,10 @@ def n(key: str) -> str:
 
 def uid(source: str, key: str) -> str:
     h = f"sha1(unhex('{'6ba7b8119dad11d180b400c04fd430c8'}') || encode('entity:{source}:' || {key}))"
-    return f"(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM (SELECT {h} AS h))"
+    return (
+        f"(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', "
+        f"substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM (SELECT {h} AS h))"
+    )
 
 
 LAND = "CASE WHEN k % 4 <> 0 THEN 'land-' || (k % 5) END"
@@ -76,7 +79,10 @@ def quoted(x: str | None) -> str:
 def rows(schema: str, parts: list[tuple[str, dict[str, str], str]]) -> str:
     """UNION ALL of (source, column to expression, condition)."""
     names = [x.strip().split(" ") for x in schema.split(",")]
-    one = lambda source, of, where: f"SELECT source_name, record_id, ts, {', '.join(f'CAST({of.get(c, chr(78) + chr(85) + chr(76) + chr(76))} AS {kind}) AS {c}' for c, kind in names)} FROM r WHERE source_name = '{source}' AND {where}"
+    one = lambda source, of, where: (
+        f"SELECT source_name, record_id, ts, {', '.join(f'CAST({of.get(c, chr(78) + chr(85) + chr(76) + chr(76))} AS {kind}) AS {c}' for c, kind in names)} FROM "
+        f"r WHERE source_name = '{source}' AND {where}"
+    )
     return f"WITH {VIEW} " + " UNION ALL ".join(one(s, {c: v.replace("string", "VARCHAR") for c, v in of.items()}, w) for s, of, w in parts).replace(" AS string)", " AS VARCHAR)")
 
 
@@ -244,7 +250,10 @@ ORACLES["tr01_dispatch_counts"] = (
 QUERIES["tr13_promoted"] = lambda s, d: M.promoted(records(s, d).where(F.col("source_name").isin("OBIS", "Some other source")), M.dispatch(records(s, d).where("ts < '1995-01-01'"), "entities", ["OBIS"]))
 ORACLES["tr13_promoted"] = (
     rows(M.ENTITIES, [OBSERVED_ENTITIES[0], ("Some other source", {"id": GENERIC_ID, "entity_type": "'observation'", "name": GENERIC_NAME, "identifier": "record_id", "country": t("country")}, "true")]).replace(f"WITH {VIEW} ", f"WITH {VIEW}, x AS (", 1)
-    + ") SELECT * FROM x WHERE id NOT IN (SELECT id FROM x WHERE source_name = 'OBIS' AND ts < TIMESTAMP '1995-01-01') QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, record_id DESC, name DESC) = 1"
+    + (
+        ") SELECT * FROM x WHERE id NOT IN (SELECT id FROM x WHERE source_name = 'OBIS' AND ts < TIMESTAMP '1995-01-01') QUALIFY row_number() OVER (PARTITION "
+        "BY id ORDER BY ts DESC, record_id DESC, name DESC) = 1"
+    )
 )
 
 

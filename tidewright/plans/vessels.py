@@ -33,7 +33,11 @@ def meetings(s, d):
     return V.encounters(S.nearest_in_time(D.tracks(s, d), 5))
 
 
-WIN = "win AS (SELECT * FROM (SELECT t.*, w, count(*) OVER (PARTITION BY t.mmsi, w) AS n FROM (SELECT *, min(ts) OVER (PARTITION BY mmsi) AS f, (epoch(ts) - epoch(min(ts) OVER (PARTITION BY mmsi))) / 60 AS off FROM tracks) t, LATERAL (SELECT unnest(range(greatest(CAST(ceil((off - 30) / 15) AS BIGINT), 0), CAST(floor(off / 15) AS BIGINT) + 1)) AS w)) WHERE n >= 3)"
+WIN = (
+    "win AS (SELECT * FROM (SELECT t.*, w, count(*) OVER (PARTITION BY t.mmsi, w) AS n FROM (SELECT *, min(ts) OVER (PARTITION BY mmsi) AS f, (epoch(ts) - "
+    "epoch(min(ts) OVER (PARTITION BY mmsi))) / 60 AS off FROM tracks) t, LATERAL (SELECT unnest(range(greatest(CAST(ceil((off - 30) / 15) AS BIGINT), 0), "
+    "CAST(floor(off / 15) AS BIGINT) + 1)) AS w)) WHERE n >= 3)"
+)
 LINE = km_sql("y1", "x1", "y2", "x2", 3440.065)
 SURE = (
     "CASE WHEN mean_sog < 0.5 THEN least(1.0, (1 - mean_sog / 0.5) * 0.5 + 0.5) WHEN mean_sog BETWEEN 1.5 AND 5 AND course_variance >= 0.25 THEN "
@@ -45,9 +49,20 @@ FEAT = f"""{WIN}, lagged AS (SELECT *, lag(lat) OVER o AS a, lag(lon) OVER o AS
     step AS (SELECT *, {km_sql('a', 'b', 'lat', 'lon', 3440.065)} AS nm, CASE WHEN epoch(ts) > epoch(c) THEN abs(((cog - e + 540) % 360) - 180) / ((epoch(ts) - epoch(c)) / 60) END AS rate FROM lagged),
     feat AS (SELECT mmsi, w, count(*) AS points, min(ts) AS start_ts, max(ts) AS end_ts, avg(sog) AS mean_sog, 1 - sqrt(pow(avg(sin(radians(cog))), 2) + pow(avg(cos(radians(cog))), 2)) AS course_variance, coalesce(sum(nm), 0) AS path_nm, coalesce(avg(rate), 0) AS turn_rate, min(lat) AS south, max(lat) AS north, arg_min(lat, (ts, id)) AS y1, arg_min(lon, (ts, id)) AS x1, arg_max(lat, (ts, id)) AS y2, arg_max(lon, (ts, id)) AS x2 FROM step GROUP BY 1, 2),
     kind AS (SELECT *, CASE WHEN mean_sog < 0.5 THEN 'anchored' WHEN mean_sog BETWEEN 1.5 AND 5 AND course_variance >= 0.25 THEN 'fishing' WHEN mean_sog < 2 AND course_variance >= 0.4 THEN 'loitering' WHEN turn_rate >= 3 THEN 'maneuvering' WHEN mean_sog >= 4 AND course_variance <= 0.15 THEN 'transiting' WHEN mean_sog < 3 AND course_variance <= 0.15 THEN 'drifting' ELSE 'unknown' END AS behaviour, {SURE} AS confidence FROM feat)"""
-SEG = f"{FEAT}, marked AS (SELECT *, CASE WHEN behaviour IS DISTINCT FROM lag(behaviour) OVER (PARTITION BY mmsi ORDER BY w) THEN 1 ELSE 0 END AS fresh FROM kind), numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY mmsi ORDER BY w)::BIGINT AS segment FROM marked), seg AS (SELECT mmsi, segment, behaviour, min(start_ts) AS start_ts, max(end_ts) AS end_ts, sum(points)::BIGINT AS points, sum(path_nm) AS path_nm, min(south) AS south, max(north) AS north, list_reduce(list(confidence::DOUBLE ORDER BY w), lambda a, b: (a + b) / 2) AS confidence FROM numbered GROUP BY 1, 2, 3)"
-SUMMARY = f"{SEG}, mins AS (SELECT mmsi, behaviour, sum((epoch(end_ts) - epoch(start_ts)) / 60) AS minutes FROM seg GROUP BY 1, 2), summary AS (SELECT *, minutes / nullif(sum(minutes) OVER (PARTITION BY mmsi), 0) * 100 AS pct FROM mins)"
-GAPS = "gaps AS (SELECT mmsi, c AS gap_start, ts AS gap_end, round((epoch(ts) - epoch(c)) / 3600, 1) AS gap_hours FROM (SELECT *, lag(ts) OVER (PARTITION BY mmsi ORDER BY ts, id) AS c FROM tracks) WHERE epoch(ts) - epoch(c) >= 7200)"
+SEG = (
+    f"{FEAT}, marked AS (SELECT *, CASE WHEN behaviour IS DISTINCT FROM lag(behaviour) OVER (PARTITION BY mmsi ORDER BY w) THEN 1 ELSE 0 END AS fresh FROM "
+    f"kind), numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY mmsi ORDER BY w)::BIGINT AS segment FROM marked), seg AS (SELECT mmsi, segment, behaviour, "
+    f"min(start_ts) AS start_ts, max(end_ts) AS end_ts, sum(points)::BIGINT AS points, sum(path_nm) AS path_nm, min(south) AS south, max(north) AS north, "
+    f"list_reduce(list(confidence::DOUBLE ORDER BY w), lambda a, b: (a + b) / 2) AS confidence FROM numbered GROUP BY 1, 2, 3)"
+)
+SUMMARY = (
+    f"{SEG}, mins AS (SELECT mmsi, behaviour, sum((epoch(end_ts) - epoch(start_ts)) / 60) AS minutes FROM seg GROUP BY 1, 2), summary AS (SELECT *, minutes "
+    f"/ nullif(sum(minutes) OVER (PARTITION BY mmsi), 0) * 100 AS pct FROM mins)"
+)
+GAPS = (
+    "gaps AS (SELECT mmsi, c AS gap_start, ts AS gap_end, round((epoch(ts) - epoch(c)) / 3600, 1) AS gap_hours FROM (SELECT *, lag(ts) OVER (PARTITION BY "
+    "mmsi ORDER BY ts, id) AS c FROM tracks) WHERE epoch(ts) - epoch(c) >= 7200)"
+)
 
 add("bh01_features", lambda s, d: V.features(V.windows(D.tracks(s, d))).select("mmsi", "w", "points", "mean_sog", "course_variance", "path_nm", "turn_rate"), f"WITH {FEAT} SELECT mmsi, w, points, mean_sog, course_variance, path_nm, turn_rate FROM feat")
 add("bh02_classifier", lambda s, d: V.classified(V.features(V.windows(D.tracks(s, d)))).select("mmsi", "w", "behaviour", "confidence"), f"WITH {FEAT} SELECT mmsi, w, behaviour, confidence FROM kind")
@@ -55,11 +70,21 @@ add("bh03_windows", lambda s, d: V.windows(D.tracks(s, d)).groupBy("mmsi", "w").
 add("bh04_merged", lambda s, d: segments(s, d), f"WITH {SEG} SELECT * FROM seg")
 add("bh05_classify_track", lambda s, d: V.merged(V.classified(V.features(V.windows(D.tracks(s, d).where("mmsi = 203000009"))))).select("mmsi", "behaviour", "start_ts", "end_ts"), f"WITH {SEG} SELECT mmsi, behaviour, start_ts, end_ts FROM seg WHERE mmsi = 203000009")
 add("bh06_summary", lambda s, d: V.behaviour_summary(segments(s, d)), f"WITH {SUMMARY} SELECT * FROM summary")
-add("bh11_port_stays", lambda s, d: V.port_stays(D.tracks(s, d), 6.0, 10.0, 20.0).select("mmsi", "start_ts", "end_ts", "points", "drift_nm"), f"WITH r AS (SELECT *, sum(CASE WHEN sog <= 6 THEN 0 ELSE 1 END) OVER (PARTITION BY mmsi ORDER BY ts, id) AS run, id = last_value(id) OVER (PARTITION BY mmsi ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fin FROM tracks), c AS (SELECT *, avg(lat) OVER (PARTITION BY mmsi, run) AS y, avg(lon) OVER (PARTITION BY mmsi, run) AS x FROM r WHERE sog <= 6), g AS (SELECT mmsi, run, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS points, max({km_sql('y', 'x', 'lat', 'lon', 3440.065)}) AS drift_nm, bool_or(fin) AS fin FROM c GROUP BY 1, 2) SELECT mmsi, start_ts, end_ts, points, drift_nm FROM g WHERE epoch(end_ts) - epoch(start_ts) >= 600 AND (drift_nm <= 20 OR fin)")
+add("bh11_port_stays", lambda s, d: V.port_stays(D.tracks(s, d), 6.0, 10.0, 20.0).select("mmsi", "start_ts", "end_ts", "points", "drift_nm"), (
+    f"WITH r AS (SELECT *, sum(CASE WHEN sog <= 6 THEN 0 ELSE 1 END) OVER (PARTITION BY mmsi ORDER BY ts, id) AS run, id = last_value(id) OVER (PARTITION BY "
+    f"mmsi ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fin FROM tracks), c AS (SELECT *, avg(lat) OVER (PARTITION BY mmsi, "
+    f"run) AS y, avg(lon) OVER (PARTITION BY mmsi, run) AS x FROM r WHERE sog <= 6), g AS (SELECT mmsi, run, min(ts) AS start_ts, max(ts) AS end_ts, "
+    f"count(*) AS points, max({km_sql('y', 'x', 'lat', 'lon', 3440.065)}) AS drift_nm, bool_or(fin) AS fin FROM c GROUP BY 1, 2) SELECT mmsi, start_ts, "
+    f"end_ts, points, drift_nm FROM g WHERE epoch(end_ts) - epoch(start_ts) >= 600 AND (drift_nm <= 20 OR fin)"
+))
 add("bh12_simplified", lambda s, d: V.simplified(D.tracks(s, d)))
 add("bh15_gaps", lambda s, d: V.gaps(D.tracks(s, d)), f"WITH {GAPS} SELECT * FROM gaps")
 add("bh16_flags", lambda s, d: D.tracks(s, d).select("mmsi").distinct().withColumn("flag", V.flag_of(F.col("mmsi"), FLAGS)), "SELECT DISTINCT mmsi, CASE mmsi // 1000000 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in FLAGS.items()) + " END AS flag FROM tracks")
-add("rk02_gap_factor", lambda s, d: V.gap_factor(D.tracks(s, d)), f"WITH {GAPS}, g AS (SELECT mmsi, max(gap_hours) AS longest, count(*) AS gaps FROM gaps GROUP BY 1) SELECT mmsi, longest, gaps, least(1.0, CASE WHEN longest >= 24 THEN 0.8 + (longest - 24) / 120 WHEN longest >= 6 THEN 0.5 + (longest - 6) / 36 ELSE 0.15 + (longest - 2) / 16 END + CASE WHEN gaps >= 3 THEN 0.1 ELSE 0 END) AS gap FROM g")
+add("rk02_gap_factor", lambda s, d: V.gap_factor(D.tracks(s, d)), (
+    f"WITH {GAPS}, g AS (SELECT mmsi, max(gap_hours) AS longest, count(*) AS gaps FROM gaps GROUP BY 1) SELECT mmsi, longest, gaps, least(1.0, CASE WHEN "
+    f"longest >= 24 THEN 0.8 + (longest - 24) / 120 WHEN longest >= 6 THEN 0.5 + (longest - 6) / 36 ELSE 0.15 + (longest - 2) / 16 END + CASE WHEN gaps >= 3 "
+    f"THEN 0.1 ELSE 0 END) AS gap FROM g"
+))
 SHARE = "coalesce(max(CASE WHEN behaviour = '{}' THEN pct END), 0) > {}"
 add("rk03_behaviour_factor", lambda s, d: V.behaviour_factor(V.behaviour_summary(segments(s, d)), segments(s, d)), f"WITH {SUMMARY}, un AS (SELECT mmsi, avg(CASE WHEN confidence < 0.4 THEN 1.0 ELSE 0.0 END) AS unsure FROM seg GROUP BY 1) SELECT mmsi, least(1.0, " + " + ".join(f"CASE WHEN {SHARE.format(b, over)} THEN {x} ELSE 0.0 END" for b, over, x in (("fishing", 30, 0.3), ("loitering", 20, 0.2), ("maneuvering", 30, 0.15), ("drifting", 40, 0.1))) + " + CASE WHEN max(unsure) > 0.3 THEN 0.1 ELSE 0.0 END)::DOUBLE AS behaviour FROM summary JOIN un USING (mmsi) GROUP BY 1")
 MET = f"""near AS (SELECT *, CAST(floor(epoch(ts) / 300) AS BIGINT) AS base FROM tracks), nigh AS (SELECT t.*, m AS mark, abs(epoch(ts) - m * 300) AS gap FROM near t, LATERAL (SELECT unnest(range(base, base + 2)) AS m)),
@@ -72,8 +97,16 @@ MET = f"""near AS (SELECT *, CAST(floor(epoch(ts) / 300) AS BIGINT) AS base FROM
         CASE WHEN slow THEN CASE WHEN seen_minutes > 60 THEN 'critical' WHEN seen_minutes > 30 OR min_nm < 0.1 THEN 'high' ELSE 'medium' END WHEN parallel AND min_nm < 0.2 THEN 'medium' ELSE 'low' END AS risk,
         CASE WHEN slow THEN least(1.0, 0.7 + CASE WHEN min_nm < 0.1 THEN 0.15 ELSE 0 END + CASE WHEN marks > 5 THEN 0.1 ELSE 0 END) WHEN parallel THEN 0.6 WHEN seen_minutes < 30 THEN 0.4 ELSE 0.3 END AS confidence FROM flagged)"""
 add("bh08_encounters", meetings, f"WITH {MET} SELECT * FROM enc")
-add("bh10_encounters_in_box", lambda s, d: V.encounters(S.nearest_in_time(V.in_area(D.tracks(s, d), 20.0, 10.0, 23.0, 12.0, "2024-01-01", "2024-01-20"), 5)).select("mmsi_a", "mmsi_b", "first_mark", "kind"), f"WITH {MET.replace('FROM tracks)', 'FROM tracks WHERE lon BETWEEN 20 AND 23 AND lat BETWEEN 10 AND 12 AND ts BETWEEN TIMESTAMP ' + chr(39) + '2024-01-01' + chr(39) + ' AND TIMESTAMP ' + chr(39) + '2024-01-20' + chr(39) + ')')} SELECT mmsi_a, mmsi_b, first_mark, kind FROM enc")
-add("bh10_encounters_of_vessel", lambda s, d: (lambda t, m: V.encounters(S.nearest_in_time(V.around_vessel(t, m), 5)).where((F.col("mmsi_a") == m) | (F.col("mmsi_b") == m)).select("mmsi_a", "mmsi_b", "first_mark", "kind"))(D.tracks(s, d), 203000009), f"WITH box AS (SELECT min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e, min(ts) AS t0, max(ts) AS t1 FROM tracks WHERE mmsi = 203000009), {MET.replace('FROM tracks)', 'FROM tracks, box WHERE mmsi = 203000009 OR (lat BETWEEN s - 1 / 6.0::DOUBLE AND n + 1 / 6.0::DOUBLE AND lon BETWEEN w - 1 / 6.0::DOUBLE AND e + 1 / 6.0::DOUBLE AND ts BETWEEN t0 AND t1))')} SELECT mmsi_a, mmsi_b, first_mark, kind FROM enc WHERE mmsi_a = 203000009 OR mmsi_b = 203000009")
+add("bh10_encounters_in_box", lambda s, d: V.encounters(S.nearest_in_time(V.in_area(D.tracks(s, d), 20.0, 10.0, 23.0, 12.0, "2024-01-01", "2024-01-20"), 5)).select("mmsi_a", "mmsi_b", "first_mark", "kind"), (
+    f"WITH "
+    f"{MET.replace('FROM tracks)', 'FROM tracks WHERE lon BETWEEN 20 AND 23 AND lat BETWEEN 10 AND 12 AND ts BETWEEN TIMESTAMP ' + chr(39) + '2024-01-01' + chr(39) + ' AND TIMESTAMP ' + chr(39) + '2024-01-20' + chr(39) + ')')} "
+    f"SELECT mmsi_a, mmsi_b, first_mark, kind FROM enc"
+))
+add("bh10_encounters_of_vessel", lambda s, d: (lambda t, m: V.encounters(S.nearest_in_time(V.around_vessel(t, m), 5)).where((F.col("mmsi_a") == m) | (F.col("mmsi_b") == m)).select("mmsi_a", "mmsi_b", "first_mark", "kind"))(D.tracks(s, d), 203000009), (
+    f"WITH box AS (SELECT min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e, min(ts) AS t0, max(ts) AS t1 FROM tracks WHERE mmsi = 203000009), "
+    f"{MET.replace('FROM tracks)', 'FROM tracks, box WHERE mmsi = 203000009 OR (lat BETWEEN s - 1 / 6.0::DOUBLE AND n + 1 / 6.0::DOUBLE AND lon BETWEEN w - 1 / 6.0::DOUBLE AND e + 1 / 6.0::DOUBLE AND ts BETWEEN t0 AND t1))')} "
+    f"SELECT mmsi_a, mmsi_b, first_mark, kind FROM enc WHERE mmsi_a = 203000009 OR mmsi_b = 203000009"
+))
 
 
 def stays(s, d):
@@ -111,7 +144,11 @@ def identities(s, d):
 MAP = "CASE mmsi // 1000000 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in FLAGS.items()) + " END"
 IDENTITY = f"""v AS (SELECT mmsi, avg(sog) AS s, {MAP} AS flag, [30, 70, 80, 25, 79][mmsi % 5 + 1] AS kind, mmsi % 7 AS n, mmsi % 3 = 0 AS imo FROM tracks GROUP BY mmsi),
     ident AS (SELECT mmsi, least(1.0, CASE WHEN flag IS NULL THEN 0.15 ELSE 0 END + CASE WHEN kind >= 60 AND NOT imo THEN 0.2 ELSE 0 END + CASE WHEN n = 0 THEN 0.15 ELSE 0 END + CASE WHEN n IN (1, 2) AND kind >= 30 THEN 0.1 ELSE 0 END + CASE WHEN kind = 30 AND s > 12 THEN 0.15 ELSE 0 END + CASE WHEN kind IN (70, 79) AND s < 2 AND s > 0 THEN 0.1 ELSE 0 END)::DOUBLE AS identity FROM v)"""
-ENCOUNTER = "ef AS (SELECT mmsi, least(1.0, CASE WHEN r >= 3 THEN 0.5 WHEN r >= 1 THEN 0.25 ELSE 0 END + CASE WHEN h >= 2 THEN 0.3 WHEN h >= 1 THEN 0.15 ELSE 0 END + CASE WHEN n >= 5 THEN 0.1 ELSE 0 END)::DOUBLE AS encounter FROM (SELECT mmsi, count(*) AS n, count(*) FILTER (kind = 'rendezvous') AS r, count(*) FILTER (risk IN ('high', 'critical')) AS h FROM (SELECT mmsi_a AS mmsi, kind, risk FROM enc UNION ALL SELECT mmsi_b, kind, risk FROM enc) GROUP BY 1))"
+ENCOUNTER = (
+    "ef AS (SELECT mmsi, least(1.0, CASE WHEN r >= 3 THEN 0.5 WHEN r >= 1 THEN 0.25 ELSE 0 END + CASE WHEN h >= 2 THEN 0.3 WHEN h >= 1 THEN 0.15 ELSE 0 END "
+    "+ CASE WHEN n >= 5 THEN 0.1 ELSE 0 END)::DOUBLE AS encounter FROM (SELECT mmsi, count(*) AS n, count(*) FILTER (kind = 'rendezvous') AS r, count(*) "
+    "FILTER (risk IN ('high', 'critical')) AS h FROM (SELECT mmsi_a AS mmsi, kind, risk FROM enc UNION ALL SELECT mmsi_b, kind, risk FROM enc) GROUP BY 1))"
+)
 add("rk04_encounter_factor", lambda s, d: V.encounter_factor(meetings(s, d)), f"WITH {MET}, {ENCOUNTER} SELECT * FROM ef")
 add("rk05_geofence_factor", lambda s, d: V.geofence_factor(alerts(s, d)))
 add("rk06_identity_factor", lambda s, d: V.identity_factor(identities(s, d)), f"WITH {IDENTITY} SELECT * FROM ident")
@@ -133,5 +170,10 @@ add("rk07_composite", composite)
 add("rk08_fleet_summary", lambda s, d: composite(s, d).where("risk >= 10").groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.avg("risk").alias("avg_risk"), F.max("risk").alias("max_risk")))
 add("gf01_geofence", lambda s, d: V.geofence_alerts(D.tracks(s, d), ZONES))
 INSIDE_CIRCLE = f"{km_sql('lat', 'lon', '11.5', '22.0', 3440.065)} <= 45"
-add("gf05_zone_states", lambda s, d: V.zone_states(D.tracks(s, d), ZONES), f"WITH z AS (SELECT mmsi, ts, id, 'reserve' AS zone, ({INSIDE}) % 2 = 1 AS inside FROM tracks UNION ALL SELECT mmsi, ts, id, 'anchorage', {INSIDE_CIRCLE} FROM tracks), v AS (SELECT *, sum(CASE WHEN inside THEN 0 ELSE 1 END) OVER (PARTITION BY mmsi, zone ORDER BY ts, id) AS visit FROM z), l AS (SELECT *, min(CASE WHEN inside THEN ts END) OVER (PARTITION BY mmsi, zone, visit) AS since FROM v) SELECT mmsi, zone, inside, CASE WHEN inside THEN since END AS since, ts AS seen FROM l QUALIFY row_number() OVER (PARTITION BY mmsi, zone ORDER BY ts DESC, id DESC) = 1")
+add("gf05_zone_states", lambda s, d: V.zone_states(D.tracks(s, d), ZONES), (
+    f"WITH z AS (SELECT mmsi, ts, id, 'reserve' AS zone, ({INSIDE}) % 2 = 1 AS inside FROM tracks UNION ALL SELECT mmsi, ts, id, 'anchorage', "
+    f"{INSIDE_CIRCLE} FROM tracks), v AS (SELECT *, sum(CASE WHEN inside THEN 0 ELSE 1 END) OVER (PARTITION BY mmsi, zone ORDER BY ts, id) AS visit FROM z), "
+    f"l AS (SELECT *, min(CASE WHEN inside THEN ts END) OVER (PARTITION BY mmsi, zone, visit) AS since FROM v) SELECT mmsi, zone, inside, CASE WHEN inside "
+    f"THEN since END AS since, ts AS seen FROM l QUALIFY row_number() OVER (PARTITION BY mmsi, zone ORDER BY ts DESC, id DESC) = 1"
+))
 add("al04_alert_summary", lambda s, d: alerts(s, d).groupBy("zone", "rule", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mmsi").alias("vessels"), F.max("ts").alias("newest")))

@@ -82,16 +82,32 @@ def tracks(s: SparkSession, d: str) -> DataFrame:
 
 
 SQL = {
-    "time_series": "SELECT o_orderkey AS id, o_orderpriority AS code, o_orderdate AS ts, o_totalprice AS value, o_orderstatus AS commodity, n_name AS country, c_mktsegment AS source_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
+    "time_series": (
+        "SELECT o_orderkey AS id, o_orderpriority AS code, o_orderdate AS ts, o_totalprice AS value, o_orderstatus AS commodity, n_name AS country, "
+        "c_mktsegment AS source_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
+    ),
     "entities": """SELECT 'c' || c_custkey AS id, c_mktsegment AS entity_type, c_name AS name, CAST(n_nationkey AS VARCHAR) AS identifier, n_name AS country, r_name AS sector, 'crm' AS source_name,
         (c_custkey * 7919 % 1200) / 10.0::DOUBLE - 60 AS lat, (c_custkey * 104729 % 3000) / 10.0::DOUBLE - 150 AS lon, c_acctbal AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
         UNION ALL SELECT 's' || s_suppkey, 'supplier', s_name, CAST(n_nationkey AS VARCHAR), n_name, r_name, 'scm',
         (s_suppkey * 7919 % 1200) / 10.0::DOUBLE - 60, (s_suppkey * 104729 % 3000) / 10.0::DOUBLE - 150, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
-    "flows": "SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS flow_type, 's' || l_suppkey AS source_id, 'c' || o_custkey AS dest_id, l_shipdate AS ts, l_extendedprice AS amount, p_type AS commodity, l_linestatus AS currency FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey",
-    "relationships": "SELECT 's' || l_suppkey AS source_id, 'c' || o_custkey AS dest_id, l_returnflag AS relationship_type, max(l_discount) AS strength FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_suppkey, o_custkey, l_returnflag",
-    "ev": "SELECT event_id AS id, ts, event_type, value AS impact, user_id AS entity_id, 'src' || (user_id % 5) AS source_name, (event_id * 7919 % 1200) / 10.0::DOUBLE - 60 AS lat, (event_id * 104729 % 3000) / 10.0::DOUBLE - 150 AS lon, value / 1000 AS quality, props FROM events",
+    "flows": (
+        "SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS flow_type, 's' || l_suppkey AS source_id, 'c' || o_custkey AS dest_id, l_shipdate AS ts, "
+        "l_extendedprice AS amount, p_type AS commodity, l_linestatus AS currency FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = "
+        "p_partkey"
+    ),
+    "relationships": (
+        "SELECT 's' || l_suppkey AS source_id, 'c' || o_custkey AS dest_id, l_returnflag AS relationship_type, max(l_discount) AS strength FROM lineitem JOIN "
+        "orders ON l_orderkey = o_orderkey GROUP BY l_suppkey, o_custkey, l_returnflag"
+    ),
+    "ev": (
+        "SELECT event_id AS id, ts, event_type, value AS impact, user_id AS entity_id, 'src' || (user_id % 5) AS source_name, (event_id * 7919 % 1200) / "
+        "10.0::DOUBLE - 60 AS lat, (event_id * 104729 % 3000) / 10.0::DOUBLE - 150 AS lon, value / 1000 AS quality, props FROM events"
+    ),
     "assessments": "SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS entity_id, l_returnflag AS metric_code, l_linestatus AS assessor, l_shipdate AS ts, l_quantity AS score FROM lineitem",
-    "claims": "SELECT o_orderkey AS id, o_custkey AS claimant_id, o_orderstatus AS status, o_totalprice AS target_value, o_orderdate AS deadline, CAST(o_orderkey % 121 AS DOUBLE) AS progress FROM orders",
+    "claims": (
+        "SELECT o_orderkey AS id, o_custkey AS claimant_id, o_orderstatus AS status, o_totalprice AS target_value, o_orderdate AS deadline, CAST(o_orderkey % "
+        "121 AS DOUBLE) AS progress FROM orders"
+    ),
     "tracks": """SELECT event_id AS id, 200000000 + user_id * 1000003 % 500000000 AS mmsi, TIMESTAMP '2024-01-01' + to_minutes(CAST(k * 5 + (k // 23) * 180 AS INTEGER)) AS ts,
         10 + CAST(user_id % 7 AS DOUBLE) * 0.5 + CAST(k % 50 AS DOUBLE) * 0.02 AS lat, 20 + CAST(user_id % 11 AS DOUBLE) * 0.5 + CAST(k % 40 AS DOUBLE) * 0.015 AS lon, value % 15 AS sog, CAST(event_id * 37 % 360 AS DOUBLE) AS cog
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events)""",
