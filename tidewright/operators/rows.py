@@ -154,3 +154,38 @@ def embedding_rows(entities: DataFrame, series: DataFrame, buckets: int = 64) ->
     words = F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda w: w != "")
     place = F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(buckets)).cast("int"))
     return one.withColumn("vector", F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.size(F.filter(place, lambda p: p == i))))
+
+
+def edge_statistics(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Edges in all, by edge type and by the type of the node they start from, with the mean strength to 4 places."""
+    by = lambda df, part, c: df.groupBy(c.alias("name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("strength").cast("double")), 4).alias("avg_strength")).select(F.lit(part).alias("part"), "name", "n", "avg_strength")
+    typed = edges.join(entities.select(F.col("id").alias("source_id"), "entity_type"), "source_id", "left")
+    return by(edges, "total", F.lit("all")).unionByName(by(edges, "edge type", F.col("relationship_type"))).unionByName(by(typed, "source type", F.coalesce("entity_type", F.lit("none"))))
+
+
+def correlation_scan(semantic: DataFrame, spatial: DataFrame, temporal: DataFrame, clusters: DataFrame, top: int = 3) -> DataFrame:
+    """All findings (kind, key, confidence), the surest first: like texts, places shared (sure at ten meetings), the ``top``
+    lags of each pair of series, and clusters (sure at five members)."""
+    key = lambda *c: F.concat_ws("~", *[F.col(x).cast("string") for x in c])
+    lag = W.partitionBy("code_a", "code_b").orderBy(F.desc(F.abs("r")), "lag")
+    best = temporal.where("r is not null and not isnan(r)").withColumn("rank", F.row_number().over(lag)).where(F.col("rank") <= top)
+    parts = [
+        semantic.select(F.lit("semantic").alias("kind"), key("source_id", "target_id").alias("key"), F.col("strength").cast("double").alias("confidence")),
+        spatial.select(F.lit("spatial").alias("kind"), key("source_a", "source_b", "type_a", "type_b").alias("key"), F.least(F.lit(1.0), F.col("n") / 10).alias("confidence")),
+        best.select(F.lit("temporal").alias("kind"), key("code_a", "code_b", "lag").alias("key"), F.abs("r").alias("confidence")),
+        clusters.select(F.lit("cluster").alias("kind"), key("cluster").alias("key"), F.least(F.lit(1.0), F.col("size") / 5).alias("confidence")),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.orderBy(F.desc("confidence"), "kind", "key")
+
+
+def decision_tree(facts: DataFrame, ancestors: DataFrame, edges: DataFrame, community: DataFrame, entity: str, top: int = 50) -> DataFrame:
+    """What is known of one entity as rows (part, key, value): its detail, its ancestry with the depth, its ``top`` strongest
+    edges and its community."""
+    lines = ancestors.select(F.lit("ancestry").alias("part"), F.concat_ws(">", "parent_id", "child_id").alias("key"), F.col("depth").cast("string").alias("value"))
+    own = edges.where((F.col("source_id") == entity) | (F.col("dest_id") == entity)).orderBy(F.desc("strength"), "source_id", "dest_id", "relationship_type").limit(top)
+    strong = own.select(F.lit("edge").alias("part"), F.concat_ws(">", "source_id", "dest_id", "relationship_type").alias("key"), F.col("strength").cast("string").alias("value"))
+    group = community.where(F.col("node") == entity).select(F.lit("community").alias("part"), F.col("node").alias("key"), F.col("community").cast("string").alias("value"))
+    return facts.unionByName(lines).unionByName(strong).unionByName(group)

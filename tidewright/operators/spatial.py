@@ -104,6 +104,13 @@ def shared_key_counts(df: DataFrame, key: str, group: str) -> DataFrame:
     return a.join(b, "key").where("group_a < group_b").select("key", "group_a", "group_b", (F.col("n_a") * F.col("n_b")).alias("pairs"))
 
 
+def first_pairs(df: DataFrame, key: str, different: str, most: int) -> DataFrame:
+    """The first ``most`` pairs (by id) of each key. A row with ``most`` smaller ids of its key and kind is in none of them, as
+    each of those would make a smaller pair, so such rows go before any pair is made."""
+    rank = F.row_number().over(W.partitionBy(key, different).orderBy("id"))
+    return capped_by_group(matched_by(df.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank"), key, different), "key", ["id_a", "id_b"], most)
+
+
 def capped_by_group(df: DataFrame, group: str, order: list, cap: int) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("rn") <= cap).drop("rn")
 

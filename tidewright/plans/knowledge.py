@@ -45,7 +45,6 @@ add("gr11_bridges", lambda s, d: G.bridges(rel(s, d), "R", "A"), "relationships"
     "'R') INTERSECT (SELECT source_id FROM relationships WHERE relationship_type = 'A' UNION SELECT dest_id FROM relationships WHERE relationship_type = "
     "'A')) SELECT source_id, dest_id, relationship_type FROM relationships WHERE source_id IN (SELECT n FROM n) OR dest_id IN (SELECT n FROM n)"
 ))
-add("gr12_edge_statistics", lambda s, d: rel(s, d).groupBy("relationship_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("strength"), 4).alias("avg_strength")), "relationships", "SELECT relationship_type, count(*) AS n, round(avg(strength), 4) AS avg_strength FROM relationships GROUP BY 1")
 add("gr14_pagerank", lambda s, d: G.pagerank(rel(s, d)))
 add("gr15_degree_centrality", lambda s, d: (b := G.both_ways(rel(s, d))).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("degree")).crossJoin(F.broadcast(b.agg(F.countDistinct("a").alias("nodes")))).select("id", (F.col("degree").cast("double") / (F.col("nodes") - 1)).alias("centrality")), "relationships", f"WITH {BOTH} SELECT a AS id, count(*)::DOUBLE / ((SELECT count(DISTINCT a) FROM e) - 1) AS centrality FROM e GROUP BY 1")
 add("gr21_structural_holes", lambda s, d: G.constraint(rel(s, d)), "relationships", "WITH " + WEIGHTED + (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.common import table
+from tidewright.operators import network as N
 from tidewright.operators import olap as O
 from tidewright.operators import records as R
 from tidewright.operators import rows as X
@@ -215,3 +216,30 @@ def briefing(s, d):
     for x in parts[1:]:
         out = out.unionByName(x)
     return out
+
+
+add(
+    "gr12_edge_statistics",
+    lambda s, d: X.edge_statistics(D.relationships(s, d), D.entities(s, d)),
+    "relationships entities",
+    "SELECT 'total' AS part, 'all' AS name, count(*) AS n, round(avg(strength::DOUBLE), 4) AS avg_strength FROM relationships UNION ALL SELECT 'edge type', relationship_type, count(*), round(avg(strength::DOUBLE), 4) FROM relationships GROUP BY 2 "
+    "UNION ALL SELECT 'source type', coalesce(entity_type, 'none'), count(*), round(avg(strength::DOUBLE), 4) FROM relationships LEFT JOIN entities ON source_id = id GROUP BY 2",
+)
+
+
+def scan(s, d):
+    from tidewright.plans.network import vectors
+
+    events = D.events(s, d)
+    return X.correlation_scan(N.semantic_edges(vectors(s, d)), S.co_occurrence(events, 6.0, 28), O.lagged_correlation(O.daily_series(D.time_series(s, d))), S.cluster_summary(events, S.dbscan(events, 200.0, 3)))
+
+
+def tree(s, d):
+    from tidewright.plans.knowledge import lineage
+
+    edges = D.relationships(s, d)
+    return X.decision_tree(X.detail(D.entities(s, d), edges, D.assessments(s, d), "c7"), R.ancestry(lineage(s, d), "c7"), edges, N.communities(edges), "c7")
+
+
+add("sy05_correlation_scan", scan)
+add("ln05_decision_tree", tree)

@@ -91,10 +91,9 @@ add("jn12_same_json_value", lambda s, d: S.shared_key_counts(D.events(s, d).with
     "b.source_name AS group_b, a.n * b.n AS pairs FROM c a JOIN c b ON a.key = b.key AND a.source_name < b.source_name"
 ))
 add("jn14_either_key", lambda s, d: S.either_key(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 3).alias("x"), F.col("s_nationkey").alias("y")), table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("x"), F.col("c_nationkey").alias("y")), [("x", "x"), ("y", "y")]), "", "SELECT s_suppkey AS id_a, c_custkey AS id_b FROM supplier JOIN customer ON s_suppkey * 3 = c_custkey OR s_nationkey = c_nationkey")
-add("jn15_capped_pairs", lambda s, d: S.capped_by_group(S.matched_by(D.entities(s, d), "country", "entity_type"), "key", ["id_a", "id_b"], 50), "entities", (
-    "SELECT a.id AS id_a, b.id AS id_b, a.country AS key FROM entities a JOIN entities b ON a.country = b.country AND a.id < b.id AND a.entity_type <> "
-    "b.entity_type QUALIFY row_number() OVER (PARTITION BY a.country ORDER BY a.id, b.id) <= 50"
-))
+PAIRS = "SELECT a.id AS id_a, b.id AS id_b, a.{0} AS key FROM entities a JOIN entities b ON a.{0} = b.{0} AND a.id < b.id AND a.entity_type <> b.entity_type QUALIFY row_number() OVER (PARTITION BY a.{0} ORDER BY a.id, b.id) <= {1}"
+add("jn15_capped_pairs", lambda s, d: S.first_pairs(D.entities(s, d), "country", "entity_type", 50), "entities", PAIRS.format("country", 50))
+add("gr06_sector_edges", lambda s, d: S.first_pairs(D.entities(s, d), "sector", "entity_type", 200), "entities", PAIRS.format("sector", 200))
 add("jn19_nearest_in_time", lambda s, d: S.nearest_in_time(D.tracks(s, d), 7).select("mmsi", "mark", "id", "gap_s"), "tracks", (
     "WITH m AS (SELECT *, unnest(range(CAST(floor(epoch(ts) / 420) AS BIGINT), CAST(floor(epoch(ts) / 420) AS BIGINT) + 2)) AS mark FROM tracks), g AS "
     "(SELECT mmsi, mark, id, CAST(abs(epoch(ts) - mark * 420) AS BIGINT) AS gap_s FROM m) SELECT * FROM g WHERE gap_s < 120 QUALIFY row_number() OVER "
