@@ -1,5 +1,6 @@
 """Operators that SQL does not check: fixtures with known answers."""
 
+import time
 import uuid
 from datetime import datetime, timedelta
 
@@ -226,3 +227,16 @@ def test_one_failing_detector_stops_no_other(spark):
 
 def test_names_that_are_free():
     assert free_name(["__X", "__x_"], "__x") == "__x__" and free_name([], "a") == "a"
+
+
+def test_late_rows_are_dropped_and_repeated_ones_count_once(spark, tmp_path):
+    at = lambda h, m: datetime(2024, 1, 1, h, m)
+    batches = [[(1, at(8, 5), "a", 1.0), (1, at(8, 5), "a", 1.0), (2, at(12, 0), "a", 1.0)], [(4, at(11, 55), "a", 1.0), (5, at(15, 0), "a", 1.0)], [(3, at(8, 10), "a", 1.0), (6, at(15, 5), "a", 1.0)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        time.sleep(0.02)
+    stream = spark.readStream.schema("event_id long, ts timestamp, event_type string, value double").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("ts", "10 minutes")
+    got = sorted((r.period.hour, r.n) for r in L.drained(L.windowed_counts(stream), spark, "append").collect())
+    assert got == [(8, 2), (11, 1), (12, 1)]  # the row of 8:10 came too late; the window of 15 is still open
+    seen = sorted(r.event_id for r in L.drained(L.once(stream), spark, "append").collect())
+    assert seen == [1, 2, 4, 5, 6]

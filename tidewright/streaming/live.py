@@ -30,6 +30,17 @@ def windowed_counts(stream: DataFrame, window: str = "1 hour") -> DataFrame:
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("period"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
+def sessions(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Each user's runs of events less than ``gap`` apart; one is put out once no event in time can lengthen it."""
+    g = stream.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return g.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start_ts"), F.col("w.end").cast("timestamp_ntz").alias("end_ts"), "n")
+
+
+def once(stream: DataFrame, key: str = "event_id") -> DataFrame:
+    """Rows whose key has not been seen within the watermark."""
+    return stream.dropDuplicatesWithinWatermark([key]).select(key, F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 def latest_by_user(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "value")).alias("x")).select("user_id", F.col("x.ts").cast("timestamp_ntz").alias("ts"), "x.event_id", "x.value")
 
@@ -58,12 +69,13 @@ def drained(stream: DataFrame, spark: SparkSession, mode: str = "complete") -> D
     result, or all rows of an appended one. Sink and checkpoint are in the shared folder."""
     scratch = Scratch(spark, "stream")
 
+    # A batch that is tried again writes over its own folder.
     def put(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite" if mode == "complete" else "append").parquet(scratch.path("out"))
+        df.write.mode("overwrite").parquet(scratch.path("out/run=0" if mode == "complete" else f"out/run={batch}"))
 
     q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", scratch.path("checkpoint")).foreachBatch(put).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(scratch.path("out"))
+    return spark.read.schema(stream.schema).parquet(scratch.path("out")).select(*stream.columns)
 
 
 def streamed(op: Callable[[DataFrame], DataFrame], mode: str = "complete") -> Callable[[SparkSession, str], DataFrame]:
