@@ -70,7 +70,7 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _pieces(names: DataFrame, least: float) -> DataFrame:
-    """key, piece: the first pieces of each name under the order that puts rare ones first."""
+    """key, piece, all: the first pieces of each name under the order that puts rare ones first, and all of them."""
     n = F.length("key")
     two = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring("key", i, 2))
     numbered = F.transform(two, lambda x, i: F.concat(x, F.size(F.filter(F.slice(two, 1, i), lambda y: y == x)).cast("string")))
@@ -83,7 +83,8 @@ def _pieces(names: DataFrame, least: float) -> DataFrame:
     # Names too short to share a piece for certain all meet under one more piece, which the others have as well.
     short = shared < 1
     every = F.transform(F.coalesce(first, F.col("all")), lambda x: x["piece"])
-    return lists.select("key", F.explode(F.when(short, F.concat(every, F.array(F.lit("")))).otherwise(F.concat(every, F.when(n <= 8, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))))).alias("piece"))
+    whole = F.transform("all", lambda x: x["piece"]).alias("all")
+    return lists.select("key", whole, F.explode(F.when(short, F.concat(every, F.array(F.lit("")))).otherwise(F.concat(every, F.when(n <= 8, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))))).alias("piece"))
 
 
 def like_names(names: DataFrame, least: float) -> DataFrame:
@@ -91,10 +92,14 @@ def like_names(names: DataFrame, least: float) -> DataFrame:
     if not 2 / 3 < least <= 1:
         raise ValueError("least must be above 2/3 and at most 1: below, names of like length need not share a piece")
     p = _pieces(names.select("key").distinct(), least)
-    a, b = p.withColumnRenamed("key", "key_a"), p.withColumnRenamed("key", "key_b")
+    a, b = (p.select("piece", F.col("key").alias(f"key_{x}"), F.col("all").alias(f"all_{x}")) for x in "ab")
     size = least / (2 - least)
     met = a.join(b, "piece").where("key_a < key_b").where((F.length("key_a") >= size * F.length("key_b") - 1e-9) & (F.length("key_b") >= size * F.length("key_a") - 1e-9))
-    return met.select("key_a", "key_b").distinct().withColumn("ratio", name_ratio("key_a", "key_b")).where(F.col("ratio") >= least)
+    met = met.dropDuplicates(["key_a", "key_b"])
+    # The same count of shared pieces, now for the two lengths there are, leaves few pairs to compare letter by letter.
+    enough = (F.length("key_a") + F.length("key_b")) * (1.5 * least - 1) - 1 - 1e-9
+    alike = met.where(F.size(F.array_intersect("all_a", "all_b")) >= enough).select("key_a", "key_b")
+    return alike.withColumn("ratio", name_ratio("key_a", "key_b")).where(F.col("ratio") >= least)
 
 
 def _oriented(pairs: DataFrame, rest: list[str | Column]) -> DataFrame:
