@@ -49,7 +49,9 @@ class DigestIndex:
     def add(self, groups: DataFrame) -> None:
         """Appends the digests of ``groups`` (digest, own: the smallest doc_id) that the index has not."""
         new = groups.join(self.table().hint("merge"), "digest", "left_anti").select("digest", F.col("own").alias("keep_id"))
-        self.store.append(next(iter(self.store.tables)), new.repartition(self.store.buckets, "digest"))
+        # Dealt by bucket, so each bucket gets one file a batch however many tasks there are.
+        n = self.store.buckets
+        self.store.append(next(iter(self.store.tables)), new.repartition(n, F.pmod(F.hash("digest"), F.lit(n))))
 
     def ingest(self, docs: DataFrame, batches: int = 1) -> DataFrame:
         """Adds the rows; for each of them: doc_id, digest, keep_id, group_size (among these rows), kept."""
