@@ -95,3 +95,21 @@ def test_stage_drops_a_copy_with_a_few_words_edited(spark):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
     got = C.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
     assert sorted(r.doc_id for r in got.collect()) == list(range(0, 40, 2))
+
+
+def test_sketches_bound_what_sets_share():
+    rng = np.random.default_rng(6)
+    for n in (0, 3, 200, 3000, 90_000):
+        pool = rng.integers(0, 2**63, 2 * n + 1, np.uint64)
+        x, y = (np.unique(rng.choice(pool, n)) for _ in "ab")
+        rows = [np.frombuffer(N.sketch(s), np.uint8)[None] for s in (x, y)]
+        bound = int(N.at_most_shared(*rows, np.array([len(x)]), np.array([len(y)]))[0])
+        assert len(np.intersect1d(x, y)) <= bound <= min(len(x), len(y))
+
+
+def test_fingerprints_two_bits_apart_link_what_similarity_does_not(spark):
+    """A line said forty times outweighs what differs: fingerprints are equal, and the sets of shingles are not alike."""
+    said = "one line that is said over and over again. " * 40
+    rows = [(1, said + "alpha beta gamma delta epsilon zeta eta theta"), (2, said + "iota kappa lambda mu nu xi omicron pi"), (3, "something else of a few words only"), (4, None), (5, "")]
+    got = C.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3, 4]
