@@ -36,10 +36,10 @@ def flag_factor(flags: DataFrame, scores: dict[str, float]) -> DataFrame:
     return flags.select("mmsi", F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("flag")), F.lit(0.5)).alias("flag"))
 
 
-def template_counts(followed: DataFrame, templates: DataFrame) -> DataFrame:
-    """How often each (type_a, type_b, max_s) is seen among pairs of events that follow each other."""
-    p = followed.select(F.col("a.event_type").alias("type_a"), F.col("b.event_type").alias("type_b"), "lag_s")
-    return p.join(F.broadcast(templates), ["type_a", "type_b"]).where("lag_s <= max_s").groupBy("type_a", "type_b", "max_s").agg(F.count(F.lit(1)).alias("n"))
+def template_counts(counts: DataFrame, templates: DataFrame) -> DataFrame:
+    """How often each (type_a, type_b, max_s) is seen, of the counts of followers (span_s, type_a, type_b, n) within each max_s."""
+    p = counts.select("type_a", "type_b", F.col("span_s").alias("max_s"), "n")
+    return p.join(F.broadcast(templates), ["type_a", "type_b", "max_s"]).select("type_a", "type_b", "max_s", "n")
 
 
 def lifecycle(scored: DataFrame, promote: float = 0.6) -> DataFrame:

@@ -44,7 +44,7 @@ add("ts14_cross_correlation", lambda s, d: X.cross_correlation(O.monthly(D.time_
 ))
 add("bh07_current", lambda s, d: X.current_behaviour(V.classified(V.features(V.windows(D.tracks(s, d))))), "tracks", f"WITH {PV.FEAT} SELECT mmsi, behaviour, end_ts FROM kind QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY w DESC) = 1")
 add("rk01_flag_factor", lambda s, d: X.flag_factor(flags(s, d), FLAG_RISK), "tracks", f"WITH {FLAG_SQL} SELECT mmsi, CASE flag " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in FLAG_RISK.items()) + " ELSE 0.5 END::DOUBLE AS flag FROM fl")
-add("sy03_templates", lambda s, d: X.template_counts(S.followed_by(D.events(s, d), 60, None), s.createDataFrame(TEMPLATES, "type_a string, type_b string, max_s int")), "ev", "WITH t(type_a, type_b, max_s) AS (VALUES " + ", ".join(f"('{a}', '{b}', {m})" for a, b, m in TEMPLATES) + (
+add("sy03_templates", lambda s, d: X.template_counts(S.follow_counts(D.events(s, d), sorted({m for _, _, m in TEMPLATES})), s.createDataFrame(TEMPLATES, "type_a string, type_b string, max_s int")), "ev", "WITH t(type_a, type_b, max_s) AS (VALUES " + ", ".join(f"('{a}', '{b}', {m})" for a, b, m in TEMPLATES) + (
     f") SELECT type_a, type_b, max_s, count(*) AS n FROM {PS.FOLLOWS} JOIN t ON a.event_type = type_a AND b.event_type = type_b WHERE {PS.LAG} <= max_s "
     f"GROUP BY 1, 2, 3"
 ))
