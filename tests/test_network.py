@@ -104,3 +104,29 @@ def test_betweenness_of_a_path_and_a_star(spark):
     got = {r.id: r.betweenness for r in N.betweenness(spark.createDataFrame(square, EDGES)).collect()}
     assert got == pytest.approx({"a": 0.0, "b": 0.0, "c": 0.5})
     assert N.betweenness(spark.createDataFrame([], EDGES)).collect() == []
+
+
+def test_constraint_meets_no_paths_but_triangles(spark, monkeypatch):
+    from tidewright.operators import graph as G
+
+    rng, saved, save = np.random.default_rng(11), {}, G.Scratch.save
+
+    def keep(self, df, name):
+        saved[name] = save(self, df, name)
+        return saved[name]
+
+    monkeypatch.setattr(G.Scratch, "save", keep)
+    pairs = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 14, (90, 2))]
+    w = {}
+    for a, b in pairs:
+        if a != b:
+            w[a, b], w[b, a] = w.get((a, b), 0) + 1, w.get((b, a), 0) + 1
+    p = {(a, b): n / sum(m for (x, _), m in w.items() if x == a) for (a, b), n in w.items()}
+    want = {a: sum((p[a, b] + sum(p[a, c] * p[c, b] for c in want_nodes if (a, c) in p and (c, b) in p and c != b)) ** 2 for b in want_nodes if (a, b) in p) for want_nodes in [sorted({x for x, _ in w})] for a in want_nodes}
+    got = {r.id: r.constraint for r in G.constraint(spark.createDataFrame(pairs, EDGES)).collect()}
+    assert got == pytest.approx(want) and len(got) == 14
+    # Two hubs that share 300 neighbours: 90,000 paths from neighbour to neighbour, none of them between neighbours.
+    two = [(h, f"n{i}") for h in ("x", "y") for i in range(300)]
+    got = {r.id: r.constraint for r in G.constraint(spark.createDataFrame(two, EDGES)).collect()}
+    assert got["x"] == pytest.approx(1 / 300) and got["n7"] == pytest.approx(0.5) and saved["middle"].count() == 0
+    assert G.constraint(spark.createDataFrame([], EDGES)).collect() == []
