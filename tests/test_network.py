@@ -24,6 +24,27 @@ def test_like_names_loses_no_pair(spark, least):
     assert got == pytest.approx(want) and want
 
 
+def test_short_names_of_few_letters_meet_by_their_rests(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    names = {"".join(rng.choice(list("0123"), 15)) for _ in range(300)}
+    names = sorted(names | {w[:4] + w[6:] + "zé" for w in list(names)[:90]} | {w[:14] for w in list(names)[:90]})
+    df = spark.createDataFrame([(n,) for n in names], "key string")
+    met = E._met_by_rests(df, {14: [12, 13], 15: [13]}).count()
+    want = {(a, b): E.ratio(a, b) for a, b in combinations(names, 2) if E.ratio(a, b) >= 0.85}
+    # Of 108,000 pairs in all, few but those alike are compared.
+    assert len(want) <= met < 5 * len(want)
+    monkeypatch.setattr(E, "_pieces", None)
+    assert {(r.key_a, r.key_b): r.ratio for r in E.like_names(df, 0.85).collect()} == pytest.approx(want)
+
+
+def test_names_of_any_length_meet(spark):
+    rng = np.random.default_rng(6)
+    long = ["".join(rng.choice(list("abcdefgh "), n)).strip() for n in (15, 17, 22, 40) for _ in range(30)]
+    names = sorted({*long, *(w[:3] + w[5:] for w in long), *(w[:9] + "xy" + w[9:] for w in long), "a", "b", "ab", ""} - {""})
+    got = {(r.key_a, r.key_b): r.ratio for r in E.like_names(spark.createDataFrame([(n,) for n in names], "key string"), 0.85, most=200).collect()}
+    assert got == pytest.approx({(a, b): E.ratio(a, b) for a, b in combinations(names, 2) if E.ratio(a, b) >= 0.85}) and len(got) > 200
+
+
 def test_pairs_of_compatible_types_need_more(spark):
     rows = [("1", "a", "company", "Blue Ocean Ltd."), ("2", "b", "organization", "blue ocean ltd"), ("3", "b", "port", "Blue Ocean Ltd"), ("4", "b", "company", "Blue Ocaen Ltd"), ("5", "c", "organization", "Blue Ocxxn Ltd"), ("6", "b", None, None), ("7", "a", "company", "Blue Ocean Ltd")]
     e = spark.createDataFrame(rows, "id string, source_name string, entity_type string, name string")
