@@ -151,3 +151,25 @@ def test_constraint_meets_no_paths_but_triangles(spark, monkeypatch):
     got = {r.id: r.constraint for r in G.constraint(spark.createDataFrame(two, EDGES)).collect()}
     assert got["x"] == pytest.approx(1 / 300) and got["n7"] == pytest.approx(0.5) and saved["middle"].count() == 0
     assert G.constraint(spark.createDataFrame([], EDGES)).collect() == []
+
+
+def test_betweenness_of_several_parts_stays_off_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng, w, out = np.random.default_rng(2), {}, {}
+    pairs = [(f"{g}{a}", f"{g}{b}") for g, n in (("p", 9), ("q", 12)) for a, b in rng.integers(0, n, (30, 2)) if a != b]
+    for a, b in pairs:
+        w[a, b] = w[b, a] = w.get((a, b), 0) + 1
+    nodes = sorted({a for a, _ in w})
+    far = {(a, b): 0 if a == b else w.get((a, b), np.inf) for a in nodes for b in nodes}
+    for c in nodes:
+        far |= {(a, b): min(far[a, b], far[a, c] + far[c, b]) for a in nodes for b in nodes}
+    ways = {}
+    for a in nodes:
+        for b in sorted(nodes, key=lambda x: far[a, x]):
+            ways[a, b] = 1 if a == b else sum(ways[a, c] for c in nodes if (c, b) in w and far[a, c] + w[c, b] == far[a, b] < np.inf)
+    for v in nodes:
+        out[v] = sum(ways[a, v] * ways[v, b] / ways[a, b] for a in nodes for b in nodes if len({a, b, v}) == 3 and far[a, v] + far[v, b] == far[a, b] < np.inf) / ((len(nodes) - 1) * (len(nodes) - 2))
+    monkeypatch.setattr(DataFrame, "toPandas", None)
+    got = {r.id: r.betweenness for r in N.betweenness(spark.createDataFrame(pairs, EDGES), walks=4).collect()}
+    assert got == pytest.approx(out) and len({x[0] for x in got}) == 2 and max(out.values()) > 0
