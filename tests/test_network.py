@@ -113,6 +113,18 @@ def test_communities_are_those_planted(spark):
     assert set(bridges) == {f"g{g}n0{i}" for g in range(4) for i in (0, 1)} and set(bridges.values()) == {(2, 2)}
 
 
+def test_communities_of_small_parts_take_no_rounds_of_joins(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    edges = [(f"p{p}g{g}n{a:02}", f"p{p}g{g}n{b:02}") for p in range(3) for g in range(3) for a, b in combinations(range(9 + p + 3 * g), 2) if rng.random() < 0.8]
+    edges += [(f"p{p}g{g}n00", f"p{p}g{(g + 1) % 3}n01") for p in range(3) for g in range(3)] + [("lone1", "lone2"), ("loop", "loop")]
+    df = spark.createDataFrame(edges, EDGES)
+    groups = lambda **more: sorted(sorted(r.node for r in rows) for rows in [[r for r in got if r.community == c] for got in [N.communities(df, **more).collect()] for c in sorted({r.community for r in got})])
+    large = groups(held=100)
+    monkeypatch.setattr(N, "_joined_louvain", None)
+    of = groups()
+    assert of == large and len(of) == 10 and ["lone1", "lone2"] in of and all(len({n[:4] for n in g}) == 1 for g in of if len(g) > 2)
+
+
 def test_betweenness_of_a_path_and_a_star(spark):
     path = [(f"n{i}", f"n{i + 1}") for i in range(5)]
     got = {r.id: r.betweenness for r in N.betweenness(spark.createDataFrame(path, EDGES)).collect()}
