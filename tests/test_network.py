@@ -185,3 +185,18 @@ def test_betweenness_of_several_parts_stays_off_the_driver(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "toPandas", None)
     got = {r.id: r.betweenness for r in N.betweenness(spark.createDataFrame(pairs, EDGES), walks=4).collect()}
     assert got == pytest.approx(out) and len({x[0] for x in got}) == 2 and max(out.values()) > 0
+
+
+def test_ratios_are_those_of_difflib():
+    rng = np.random.default_rng(5)
+    names = ["".join(rng.choice(list(letters), n)) for letters in ("ab", "abc ", "0123456789abcdef", "é😀\0z") for n in [0, 1, 7, 15, 16, 17, 31, 33, 64, 65, 90] for _ in range(3)]
+    pairs = [(a, b) for a in names for b in names]
+    assert E.ratios([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [E.ratio(a, b) for a, b in pairs]
+
+
+def test_rests_of_names_travel_in_blocks(spark):
+    met = E._met_by_rests(spark.range(300).selectExpr("substring(md5(cast(id as string)), 1, 12) as key"), {12: [10]}, 3)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "numbers" in plan and "collect_set" not in plan  # 66 rests a name were rows of their own
+    crowd = spark.createDataFrame([(f"abcdefghij{c}{d}",) for c in "xyz" for d in "xyz"], "key string")
+    assert E._met_by_rests(crowd, {12: [10]}, 3).distinct().count() == 36
