@@ -277,3 +277,16 @@ def test_late_rows_are_dropped_and_repeated_ones_count_once(spark, tmp_path):
     assert got == [(8, 2), (11, 1), (12, 1)]  # the row of 8:10 came too late; the window of 15 is still open
     seen = sorted(r.event_id for r in L.drained(L.once(stream), spark, "append").collect())
     assert seen == [1, 2, 4, 5, 6]
+
+
+def test_vessel_identity_makes_no_pair_to_drop_it(spark):
+    from tidewright.operators import rows as X
+
+    rows = [(i, f"AIS-{i % 3}", f"v-{i % 7}" if i % 11 else None, "{}") for i in range(400)] + [(5, "AIS-1", "v-5", "{}"), (5, "AIS-9", "v-5", "{}"), (None, "AIS-1", "v-5", "{}")]
+    df = spark.createDataFrame(rows, "id long, source_name string, identifier string, payload string")
+    known = [(i, s, v[2:]) for i, s, v, _ in rows if v and i is not None]
+    want = sorted((a, b, m) for a, s, m in known for b, t, n in known if m == n and a < b and s != t)
+    out = X.identity_edges(df, block=10)
+    assert sorted(map(tuple, out.collect())) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ids_a" in plan and "NOT (source_a" not in plan  # rows of one MMSI met in one task, those of one source as well
