@@ -200,3 +200,11 @@ def test_rests_of_names_travel_in_blocks(spark):
     assert "numbers" in plan and "collect_set" not in plan  # 66 rests a name were rows of their own
     crowd = spark.createDataFrame([(f"abcdefghij{c}{d}",) for c in "xyz" for d in "xyz"], "key string")
     assert E._met_by_rests(crowd, {12: [10]}, 3).distinct().count() == 36
+
+
+def test_places_too_far_apart_for_what_is_wanted_are_not_compared(spark, monkeypatch):
+    rows = [("a1", "crm", 0.0), ("b1", "erp", 0.001), ("b2", "erp", 0.01)]
+    df = spark.createDataFrame([(i, s, "port", "same name", lat, 0.0) for i, s, lat in rows], "id string, source_name string, entity_type string, name string, lat double, lon double")
+    every = {(r.id_a, r.id_b): r.confidence for r in E.spatial_pairs(df).collect()}
+    assert every == {("a1", "b1"): pytest.approx(0.9889), ("a1", "b2"): pytest.approx(0.889)}
+    assert {(r.id_a, r.id_b) for r in E.spatial_pairs(df, wanted=0.95).collect()} == {("a1", "b1")}
