@@ -290,3 +290,21 @@ def test_vessel_identity_makes_no_pair_to_drop_it(spark):
     assert sorted(map(tuple, out.collect())) == want
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "ids_a" in plan and "NOT (source_a" not in plan  # rows of one MMSI met in one task, those of one source as well
+
+
+def test_entities_met_often_are_paired_without_a_shuffle_of_pairs(spark):
+    from tidewright.operators import rows as X
+
+    seen = [((i * i * 31 + i) % 40, str(i * 7 % 1300)) for i in range(6000)] + [(None, "1"), (3, None)]
+    df = spark.createDataFrame(seen, "at long, id string")
+    at = {}
+    for k, i in seen:
+        if k is not None and i is not None:
+            at.setdefault(k, set()).add(i)
+    want = {(a, b) for x in at.values() for a in x for b in x if a < b}
+    for sparse in (0.0, 1e9):
+        out = X.met_pairs(df, sparse=sparse)
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert "Join" in out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in X.met_pairs(df)._jdf.queryExecution().executedPlan().toString()
