@@ -159,3 +159,14 @@ def test_many_groups_take_the_other_join(spark, monkeypatch):
 def test_quantiles(p):
     rng = np.random.default_rng(0)
     assert Q.chi2_quantile(p, 6) == pytest.approx(np.quantile((rng.normal(size=(400_000, 6)) ** 2).sum(1), p), rel=0.03)
+
+
+def test_the_filter_on_kept_rows_is_compiled(spark):
+    """Spark writes the distance out in the filter: it must not grow past the 64 KB of a method."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        kept = [r.doc_id for r in Q.keep_good(docs).collect()]
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert sorted(kept) == sorted(r.doc_id for r in Q.quality_rules(docs, ["doc_id"]).where("__kept").collect())

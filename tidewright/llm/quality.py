@@ -12,7 +12,7 @@ All of it is DataFrame functions. Text is read once; steps run over the stored v
 sums and products by group and bin of distance with map-side aggregation, so no group is ever brought together:
 a group of a third of all rows costs each task a few hundred rows of sums. Of the last bin that a share needs, each
 row counts in part, so every start is judged on the same number of rows and results do not depend on the order of
-rows. The factor of a scatter (Cholesky) is written out as expressions.
+rows. The factor of a scatter (Cholesky) and its inverse are written out as expressions, group by group.
 
 Defined results: a null text has no words, and fails the base rules; a null language or source is a value like any
 other; groups of fewer than ``min_rows`` rows, too few for a scatter of their own, are pooled by language, then over
@@ -105,19 +105,27 @@ def _pairs() -> list[tuple[int, int]]:
 
 
 def _with_factor(groups: DataFrame, scale: float) -> DataFrame:
-    """Per group and start, from m0.. and c0_0.. (covariances): the Cholesky factor l0_0.. of the scaled, floored
-    scatter, and its log determinant."""
-    for i, floor in enumerate(FEATURES.values()):
-        for j in range(i + 1):
-            c = scale * F.col(f"c{i}_{j}")
-            if i == j:
-                c = F.greatest(c, F.lit(floor**2)) + F.lit(1e-6)
-            for k in range(j):
-                c = c - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            # Raising a variance to its floor keeps a scatter positive; the last guard is against rounding.
-            groups = groups.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == j else c / F.col(f"l{j}_{j}"))
+    """Per group and start, from m0.. and c0_0.. (covariances): the log determinant of the scaled, floored scatter, and
+    the inverse w0_0.. of its Cholesky factor l0_0.., both lower triangles."""
+    floors = list(FEATURES.values())
+
+    def rest(i: int, j: int) -> Column:
+        c = scale * F.col(f"c{i}_{j}")
+        if i == j:
+            c = F.greatest(c, F.lit(floors[i] ** 2)) + F.lit(1e-6)
+        for k in range(j):
+            c = c - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
+        return c
+
+    for j in range(P):
+        # Raising a variance to its floor keeps a scatter positive; the last guard is against rounding.
+        groups = groups.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(rest(j, j), F.lit(1e-9))))
+        groups = groups.withColumns({f"l{i}_{j}": rest(i, j) / F.col(f"l{j}_{j}") for i in range(j + 1, P)}) if j < P - 1 else groups
+    for i in range(P):
+        unit = {j: sum((F.col(f"l{i}_{k}") * F.col(f"w{k}_{j}") for k in range(j + 1, i)), F.col(f"l{i}_{j}") * F.col(f"w{j}_{j}")) for j in range(i)}
+        groups = groups.withColumns({f"w{i}_{j}": -c / F.col(f"l{i}_{i}") for j, c in unit.items()} | {f"w{i}_{i}": 1 / F.col(f"l{i}_{i}")})
     det = sum((2 * F.log(f"l{i}_{i}") for i in range(1, P)), 2 * F.log("l0_0"))
-    return groups.select("group", "start", "rows", det.alias("det"), *[f"m{i}" for i in range(P)], *[f"l{i}_{j}" for i, j in _pairs()])
+    return groups.select("group", "start", "rows", det.alias("det"), *[f"m{i}" for i in range(P)], *[f"w{i}_{j}" for i, j in _pairs()])
 
 
 def _with_distance(rows: DataFrame, params: DataFrame, few: bool, total: int) -> DataFrame:
@@ -127,13 +135,12 @@ def _with_distance(rows: DataFrame, params: DataFrame, few: bool, total: int) ->
     groups = params.groupBy("group").agg(F.collect_list(F.struct(*shape)).alias("__starts"), F.max("rows").alias("rows"))
     df = rows.join(F.broadcast(groups.drop("rows")), "group", "left") if few else spread_join(rows, groups, "group", "rows", total, "left")
     df = df.select(*rows.columns, F.explode_outer("__starts").alias("__s")).select(*rows.columns, "__s.*")
-    for i, name in enumerate(FEATURES):
-        z = F.col(name) - F.col(f"m{i}")
-        for k in range(i):
-            z = z - F.col(f"l{i}_{k}") * F.col(f"__z{k}")
-        df = df.withColumn(f"__z{i}", z / F.col(f"l{i}_{i}"))
-    square = sum((F.col(f"__z{i}") * F.col(f"__z{i}") for i in range(1, P)), F.col("__z0") * F.col("__z0"))
-    return df.withColumn("__d", F.sqrt(square)).select(*rows.columns, "start", "__d")
+    # Each term stands once: Spark writes the distance out in every filter on it, and a chain of substitutions, each with
+    # all those before it, grew past what it compiles (64 KB a method).
+    off = [F.col(name) - F.col(f"m{i}") for i, name in enumerate(FEATURES)]
+    z = [sum((F.col(f"w{i}_{k}") * off[k] for k in range(1, i + 1)), F.col(f"w{i}_0") * off[0]) for i in range(P)]
+    square = sum((F.pow(x, F.lit(2.0)) for x in z[1:]), F.pow(z[0], F.lit(2.0)))
+    return df.select(*rows.columns, "start", F.sqrt(square).alias("__d"))
 
 
 def _sums() -> list[Column]:
@@ -235,7 +242,7 @@ def _judged(docs: DataFrame, carry: list[str], coverage: float, steps: int, keep
     inner = _estimate(_with_distance(passed, params, few, total), within=math.sqrt(chi2_quantile(0.975, P)))
     params = scratch.save(_with_factor(inner, consistency(0.975)), "params")
     out = _with_distance(judged, params, few, total)
-    kept = ~F.col("__base_failed") & F.coalesce(F.col("__d") * F.col("__d") <= chi2_quantile(keep, P), F.lit(True))
+    kept = ~F.col("__base_failed") & F.coalesce(F.col("__d") <= math.sqrt(chi2_quantile(keep, P)), F.lit(True))
     return out.select("__own", *COUNTS, "__base_failed", F.col("__d").alias("__distance"), kept.alias("__kept"))
 
 
