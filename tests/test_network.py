@@ -208,3 +208,23 @@ def test_places_too_far_apart_for_what_is_wanted_are_not_compared(spark, monkeyp
     every = {(r.id_a, r.id_b): r.confidence for r in E.spatial_pairs(df).collect()}
     assert every == {("a1", "b1"): pytest.approx(0.9889), ("a1", "b2"): pytest.approx(0.889)}
     assert {(r.id_a, r.id_b) for r in E.spatial_pairs(df, wanted=0.95).collect()} == {("a1", "b1")}
+
+
+def test_every_pair_of_like_names_is_given(spark):
+    """Entities of one name are not cut to one of them, in whatever blocks, and what a group raises to the threshold is in."""
+    rng = np.random.default_rng(9)
+    words = ["blue ocean ltd", "blue ocaen ltd", "blue ocean l", "red sea company", "red sea compny"]
+    kinds = ["company", "organization", "port"]
+    rows = [(str(i), "abc"[rng.integers(0, 3)], kinds[rng.integers(0, 3)], words[rng.integers(0, 5)]) for i in range(120)]
+    rows += [("x", "a", "company", "abcdefghijkl"), ("y", "b", "company", "abcdefghijxyz"), ("z", "c", "company", "abcdefghijxyz")]
+    e = spark.createDataFrame(rows, "id string, source_name string, entity_type string, name string")
+    for groups in ([], [frozenset("ab")]):
+        want = {}
+        for a, b in combinations(sorted(rows), 2):
+            r = E.ratio(a[3], b[3])
+            r = min(1.0, r * 1.05) if groups and {a[1], b[1]} <= set("ab") and r > 0.7 else r
+            if a[1] != b[1] and E.compatible(a[2], b[2]) and r >= (0.82 if a[2] == b[2] else 0.87):
+                want[a[0], b[0], a[1], b[1]] = r
+        got = E.name_pairs(e, 0.82, groups=groups, block=5).collect()
+        assert {tuple(r[:4]): r.confidence for r in got} == pytest.approx(want) and len(got) == len(want) > 500
+        assert (("x", "y", "a", "b") in want) == bool(groups)
