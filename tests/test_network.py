@@ -5,6 +5,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from tidewright.common import Scratch
+from tidewright.operators import components as C
 from tidewright.operators import network as N
 from tidewright.operators import resolution as E
 
@@ -228,3 +230,26 @@ def test_every_pair_of_like_names_is_given(spark):
         got = E.name_pairs(e, 0.82, groups=groups, block=5).collect()
         assert {tuple(r[:4]): r.confidence for r in got} == pytest.approx(want) and len(got) == len(want) > 500
         assert (("x", "y", "a", "b") in want) == bool(groups)
+
+
+def test_parts_are_settled_in_few_rows(spark, monkeypatch):
+    """However tasks come by the edges, parts are those of plain reckoning, and no edge goes into the rounds of joins."""
+    rng = np.random.default_rng(11)
+    edges = sorted({tuple(sorted(f"n{x}" for x in rng.choice(90, 2, replace=False))) for _ in range(40)} | {(f"p{i:02}", f"p{i + 1:02}") for i in range(60)})
+    df = spark.createDataFrame(edges, "a string, b string").repartition(5)
+    of = {}
+    for a, b in edges:
+        one = of.get(a, {a}) | of.get(b, {b})
+        of |= {x: one for x in one}
+    seen = []
+    whole = C.connected_components
+    monkeypatch.setattr(C, "connected_components", lambda e, s: seen.append(e.count()) or whole(e, s))
+    for rows, most in ((500_000, 4_000_000), (7, 4_000_000), (4, 10)):
+        got = C.settled_parts(df, Scratch(spark, "test"), rows, most).collect()
+        assert {r.id: r.n for r in got} == {x: sum(x in e for e in edges) for x in of}
+        parts = {}
+        for r in got:
+            parts.setdefault(r.root, set()).add(r.id)
+        assert {frozenset(p) for p in parts.values()} == {frozenset(p) for p in of.values()} and len(parts) > 5
+    assert seen[0] <= len(edges)
+    assert C.settled_parts(df.where("false"), Scratch(spark, "test")).collect() == []
