@@ -244,7 +244,7 @@ def test_parts_are_settled_in_few_rows(spark, monkeypatch):
     seen = []
     whole = C.connected_components
     monkeypatch.setattr(C, "connected_components", lambda e, s: seen.append(e.count()) or whole(e, s))
-    for rows, most in ((500_000, 4_000_000), (7, 4_000_000), (4, 10)):
+    for rows, most in ((7, 4_000_000), (4, 10)):
         got = C.settled_parts(df, Scratch(spark, "test"), rows, most).collect()
         assert {r.id: r.n for r in got} == {x: sum(x in e for e in edges) for x in of}
         parts = {}
@@ -253,3 +253,17 @@ def test_parts_are_settled_in_few_rows(spark, monkeypatch):
         assert {frozenset(p) for p in parts.values()} == {frozenset(p) for p in of.values()} and len(parts) > 5
     assert seen[0] <= len(edges)
     assert C.settled_parts(df.where("false"), Scratch(spark, "test")).collect() == []
+
+
+def test_dependencies_are_the_same_in_any_steps():
+    """Edges come in blocks and are looked at few at a time; a node's own are kept whole."""
+    rng = np.random.default_rng(3)
+    pairs = sorted({tuple(sorted(rng.choice(40, 2, replace=False).tolist())) for _ in range(150)})
+    a, b, w = np.array([p[0] for p in pairs], np.int32), np.array([p[1] for p in pairs], np.int32), rng.integers(1, 4, len(pairs)).astype("u1")
+    start, to, weight = N._lists([(a[i : i + 40], b[i : i + 40], w[i : i + 40].astype("u2" if i else "u1")) for i in range(0, len(a), 40)], 40)
+    near = {i: sorted(zip(to[start[i] : start[i + 1]].tolist(), weight[start[i] : start[i + 1]].tolist())) for i in range(40)}
+    assert near == {i: sorted([(int(y), int(z)) for x, y, z in zip(a, b, w) if x == i] + [(int(x), int(z)) for x, y, z in zip(a, b, w) if y == i]) for i in range(40)}
+    for s in (0, 7):
+        one = N._dependencies(s, 40, start, to, weight)
+        assert one.sum() > 0 and np.allclose(one, N._dependencies(s, 40, start, to, weight, most=5))
+    assert N.MOST_EDGES >= 30_000_000
