@@ -267,3 +267,13 @@ def test_dependencies_are_the_same_in_any_steps():
         one = N._dependencies(s, 40, start, to, weight)
         assert one.sum() > 0 and np.allclose(one, N._dependencies(s, 40, start, to, weight, most=5))
     assert N.MOST_EDGES >= 30_000_000
+
+
+def test_a_view_of_all_needs_no_communities(spark):
+    edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "y"), ("c", "d", "x"), ("d", "a", "y")], "source_id string, dest_id string, relationship_type string")
+    rank = spark.createDataFrame([("a", 0.4), ("b", 0.3), ("c", 0.2), ("d", 0.1)], "id string, rank double")
+    of = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("d", 1)], "node string, community int")
+    about = spark.createDataFrame([("a", "k"), ("b", "k")], "id string, kind string")
+    view = lambda *x, **y: sorted(map(tuple, N.graph_view(edges, rank, *x, about, **y).collect()))
+    assert view(None, n=3) == view(of, n=3) == [("a", "b", "x"), ("b", "c", "y")]
+    assert view(of, community=1) == [("c", "d", "x")] and view(None, kind="k") == [("a", "b", "x")]
