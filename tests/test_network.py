@@ -127,6 +127,18 @@ def test_communities_of_small_parts_take_no_rounds_of_joins(spark, monkeypatch):
     assert of == large and len(of) == 10 and ["lone1", "lone2"] in of and all(len({n[:4] for n in g}) == 1 for g in of if len(g) > 2)
 
 
+def test_communities_are_found_without_weighing_or_numbering_first(spark, monkeypatch):
+    # Repeated edges weigh more: without weights, the node in the middle of the path could go either way.
+    edges = [("a", "b")] * 3 + [("b", "c")] + [("d", "c")] * 3 + [("b", "a")] + [("y", "x")] * 2 + [("x", "x"), (None, "x")]
+    df = spark.createDataFrame(edges, EDGES)
+    large = {(r.node, r.community) for r in N.communities(df, held=3).collect()}
+    for name in ("weighed_once", "parted", "placed"):  # a shuffle of all edges, or more, each
+        monkeypatch.setattr(N, name, None)
+    got = {(r.node, r.community) for r in N.communities(df).collect()}
+    assert got == large == {("a", 0), ("b", 0), ("c", 1), ("d", 1), ("x", 2), ("y", 2)}
+    assert N.communities(df.where("false")).collect() == []
+
+
 def test_betweenness_of_a_path_and_a_star(spark):
     path = [(f"n{i}", f"n{i + 1}") for i in range(5)]
     got = {r.id: r.betweenness for r in N.betweenness(spark.createDataFrame(path, EDGES)).collect()}

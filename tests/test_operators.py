@@ -308,3 +308,21 @@ def test_entities_met_often_are_paired_without_a_shuffle_of_pairs(spark):
         assert len(got) == len(want) and set(got) == want
     assert "Join" in out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in X.met_pairs(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ancestry_reads_edges_once_a_round_and_ends_at_the_top(spark):
+    from tidewright.operators import records as R
+
+    edges = [(f"n{i + 1}", f"n{i}") for i in range(14)] + [("n2", "n0"), ("m", "n1"), ("n0", "m"), (None, "n1"), ("n1", "n0"), ("z", "y")]
+    df = spark.createDataFrame(edges, "parent_id string, child_id string")
+    for depth in (1, 3, 10):
+        want, front = {}, {e for e in edges if e[1] == "n0"}
+        for d in range(depth):
+            for e in front:
+                want.setdefault(e, d)
+            front = {e for e in edges if e[1] in {p for p, _ in front}}
+        out = R.ancestry(df, "n0", depth)
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == len(want) and {(p, c): d for p, c, d in got} == want
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()  # a join for each step to each depth, 45 in all
+    assert R.ancestry(df, "top").collect() == []
